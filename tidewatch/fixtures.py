@@ -27,7 +27,7 @@ FLOW_SQL: dict[str, str] = {
     "dst_port": "cast(case when k < 20 then 80 when k < 40 then 443 when k < 50 then 53 when k < 60 then 22 "
                 "when k < 70 then 445 else 1000 + event_id % 40 end as int)",
     "protocol": "cast(case when event_type = 'view' then 17 when event_type = 'signup' and k < 10 then 1 else 6 end as int)",
-    "duration_us": "cast(k * 1000 as double)",
+    "duration_us": "cast(k * 1000000 as double)",
     "fwd_pkts": "cast(1 + k % 7 as bigint)",
     "bwd_pkts": "cast(case when event_type = 'error' then 0 else k % 5 end as bigint)",
     "fwd_bytes": "cast(floor(value * 10) as bigint)",

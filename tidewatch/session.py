@@ -15,9 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # plans here hold hundreds of expressions; recording a Python call site for each doubles build time
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+#: static, so only for sessions made here: plans hold hundreds of expressions, and recording a Python call
+#: site for each of them doubles the time it takes to build one
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def local_session(cores: int | str = 8, name: str = "tidewatch", **extra: str) -> SparkSession:
@@ -25,6 +26,7 @@ def local_session(cores: int | str = 8, name: str = "tidewatch", **extra: str) -
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     conf = {
         **SETTINGS,
+        **STATIC,
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
