@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("windows",)
+FAMILIES = ("windows", "detection")
 
 
 def families():

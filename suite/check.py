@@ -22,7 +22,8 @@ def difference(spark_rows, oracle_rows) -> str | None:
 
     def canon(df):
         df = df[cols].astype(object).where(df[cols].notna(), None)
-        return sorted(map(repr, df.itertuples(index=False, name=None)))
+        number = lambda v: float(v) if hasattr(v, "__float__") and not isinstance(v, str) else v
+        return sorted(repr(tuple(map(number, row))) for row in df.itertuples(index=False, name=None))
 
     x, y = canon(a), canon(b)
     wrong = [(p, r) for p, r in zip(x, y) if p != r]

@@ -253,7 +253,7 @@ def fit_temperature(scored: DataFrame, rounds: int = 4, points: int = 41) -> flo
     Each round is one pass that returns ``points`` averages, so only those numbers reach the driver.
     """
     low, high = -5.0, 5.0
-    rows = scored.select(_logit(F.col("score")).alias("z"), F.col("y").cast("double").alias("y"))
+    rows = scored.select(_logit(F.col("score")).alias("z"), F.col("y").cast("double").alias("y")).persist()
     best = 0.0
     for _ in range(rounds):
         grid = [low + (high - low) * i / (points - 1) for i in range(points)]
@@ -266,6 +266,7 @@ def fit_temperature(scored: DataFrame, rounds: int = 4, points: int = 41) -> flo
         at = min(range(points), key=lambda i: found[i])
         best, width = grid[at], (high - low) / (points - 1)
         low, high = best - width, best + width
+    rows.unpersist()
     return math.exp(best)
 
 
@@ -437,7 +438,7 @@ def between_times(alarms: DataFrame, lo: Column, hi: Column, keys: tuple[str, ..
 def first_alarm_after(alarms: DataFrame, runs: DataFrame, onset_table: DataFrame, stride_s: float) -> DataFrame:
     """Per split, the first alarm run still up at or after the first onset, and minutes late."""
     first = onset_table.groupBy("split").agg(F.min("onset_w").alias("onset_w"))
-    live = runs.join(first, "split").where(F.col("end_w") >= F.col("onset_w"))
+    live = runs.drop("onset_w").join(first, "split").where(F.col("end_w") >= F.col("onset_w"))
     start = live.groupBy("split").agg(F.min("begin_w").alias("first_alarm_w"))
     late = (F.col("first_alarm_w") - F.col("onset_w")) * F.lit(stride_s / 60.0)
     return first.join(start, "split", "left").withColumn("minutes_late", late)
