@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("windows", "detection")
+FAMILIES = ("windows", "detection", "capture")
 
 
 def families():

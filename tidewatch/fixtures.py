@@ -75,14 +75,6 @@ STAGE_SQL = ("cast(case label when 'BENIGN' then 0 when 'Portscan' then 1 when '
              "when 'Botnet' then 4 when 'DDoS' then 6 end as int)")
 
 
-def flows_cte() -> str:
-    """``fx`` as DuckDB text: FLOW_SQL plus stage and attempted."""
-    cols = ", ".join(f"{text} as {name}" for name, text in FLOW_SQL.items() if name != "ts")
-    return (f"fx0 as (select *, {_K} as k from events), "
-            f"fx1 as (select cast(ts as timestamp) as ts, {cols} from fx0), "
-            f"fx as (select *, {STAGE_SQL} as stage, label like '%Attempted%' as attempted from fx1)")
-
-
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a canonical flow, stages mapped by the library's own label rules."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -104,7 +96,7 @@ PACKET_SQL: dict[str, str] = {
               "else concat('203.0.113.', cast(cast(l_suppkey % 20 as int) as string)) end",
     "protocol": "cast(case when l_partkey % 5 = 0 then 17 when l_partkey % 97 = 0 then 1 else 6 end as int)",
     "src_port": "cast(case when l_linenumber % 2 = 0 then 80 else 40000 + l_partkey % 3 end as int)",
-    "dst_port": "cast(case when l_linenumber % 2 = 0 then 40000 + l_partkey % 3 else 80 + l_suppkey % 30 end as int)",
+    "dst_port": "cast(case when l_linenumber % 2 = 0 then 40000 + l_partkey % 3 when l_suppkey % 3 = 0 then 80 + l_suppkey % 30 else 80 end as int)",
     "ttl": "cast(case when l_suppkey % 4 = 0 then 52 + l_linenumber else 64 + l_suppkey % 3 end as int)",
     "more_frags": "l_partkey % 41 = 0",
     "frag_off": "cast(0 as int)",
@@ -117,12 +109,6 @@ PACKET_SQL: dict[str, str] = {
 }
 
 
-def packets_cte() -> str:
-    """``pk`` as DuckDB text."""
-    cols = ", ".join(f"{text} as {name}" for name, text in PACKET_SQL.items())
-    return f"pk as (select {cols} from lineitem)"
-
-
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
