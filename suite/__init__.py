@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("windows", "detection", "capture")
+FAMILIES = ("windows", "detection", "capture", "modelling", "reconciliation")
 
 
 def families():
