@@ -181,7 +181,7 @@ class CaptureReader(DataSourceReader):
         return [CaptureFile(f) for f in self.files]
 
     def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(PACKET_SCHEMA, timezone="UTC")
+        schema = to_arrow_schema(PACKET_SCHEMA)
         name = os.path.basename(partition.path)
         split = self.split or name.split(".")[0]
         recent: deque = deque(maxlen=self.recent or None)
