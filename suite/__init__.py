@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("windows", "detection", "capture", "modelling", "reconciliation")
+FAMILIES = ("windows", "detection", "capture", "modelling", "reconciliation", "pipelines", "streams")
 
 
 def families():
