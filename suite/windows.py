@@ -250,10 +250,16 @@ def scan_features(spark, sf):
     return state.scan_features(rows, grid_of(rows))
 
 
-@query("beacon_features", table(q("select * from beacon"), s="split", i="w", d="beacon_score"))
+# day-long windows, in which pairs of the fixture do meet often enough to have a spacing
+cte("exd", "select *, unnest(generate_series(greatest(0, off_us // 43200000000 - 1), off_us // 43200000000)) as dw from ex0")
+cte("gapsd", "select split, dw, src_ip, dst_ip, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by split, dw, src_ip, dst_ip order by ts)) / 1e6 as gap from exd")
+cte("pairgapd", "select split, dw, avg(gap) as m, stddev_samp(gap) as sd, count(gap) as c from gapsd group by split, dw, src_ip, dst_ip")
+
+
+@query("beacon_features", table(q("select split, dw as w, max(1 / (1 + sd / (m + 1e-6))) as beacon_score from pairgapd where c >= 3 group by split, dw"), s="split", i="w", d="beacon_score"))
 def beacon_features(spark, sf):
     rows = flows(spark, sf)
-    return state.beacon_features(rows, grid_of(rows))
+    return state.beacon_features(rows, grid.Grid.fit(rows, grid.WindowSpec(86400, 43200)))
 
 
 @query("top_talkers", table(q("select split, w, src_ip as ip, r as rank, c as flows, b as bytes_out from (select split, w, src_ip, count(*) as c, "

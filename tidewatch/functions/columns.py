@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.functions.labels import has_prefix
 from tidewatch.schema import SERVICE_PORTS
 
 PAYLOAD_EDGES = (0.5, 64.5, 512.5, 1024.5)
@@ -25,34 +24,32 @@ def json_safe(col: Column) -> Column:
 
 
 def flow_shape(internal: tuple[str, ...]) -> dict[str, Column]:
-    """P10: the per-flow quantities the window aggregates read; tests come back as booleans."""
-    src_in, dst_in = has_prefix(F.col("src_ip"), internal), has_prefix(F.col("dst_ip"), internal)
-    outbound, inbound = src_in & ~dst_in, ~src_in & dst_in
-    port = F.col("dst_port")
-    out = {
-        "pkts": F.col("fwd_pkts") + F.col("bwd_pkts"),
-        "bytes": F.col("fwd_bytes") + F.col("bwd_bytes"),
-        "duration_s": clean(F.col("duration_us")) / F.lit(1e6),
-        "syn_no_ack": (F.col("syn_cnt") > 0) & (F.col("ack_cnt") == 0),
-        "has_rst": F.col("rst_cnt") > 0,
-        "has_fin": F.col("fin_cnt") > 0,
-        "one_way": F.col("bwd_pkts") == 0,
-        "tiny_flow": F.col("fwd_pkts") + F.col("bwd_pkts") <= 2,
-        "priv_port": port < 1024,
-        "ephemeral_dst": port >= 32768,
-        "src_internal": src_in,
-        "is_outbound": outbound,
-        "is_inbound": inbound,
-        "is_internal": src_in & dst_in,
-        "proto_tcp": F.col("protocol") == 6,
-        "proto_udp": F.col("protocol") == 17,
-        "proto_icmp": F.col("protocol") == 1,
-        "outbound_bytes": F.when(outbound, F.col("fwd_bytes")).when(inbound, F.col("bwd_bytes")).otherwise(F.lit(0)),
-        "inbound_bytes": F.when(outbound, F.col("bwd_bytes")).when(inbound, F.col("fwd_bytes")).otherwise(F.lit(0)),
+    """P10: the per-flow quantities the window aggregates read; tests come back as booleans.
+
+    Written as SQL text: one expression each to parse, where composing columns would cross into the JVM per node.
+    """
+    src_in, dst_in = (_prefix_text(c, internal) for c in ("src_ip", "dst_ip"))
+    out, back = f"({src_in} and not {dst_in})", f"(not {src_in} and {dst_in})"
+    text = {
+        "pkts": "fwd_pkts + bwd_pkts", "bytes": "fwd_bytes + bwd_bytes", "duration_s": "nanvl(cast(duration_us as double), null) / 1e6D",
+        "syn_no_ack": "syn_cnt > 0 and ack_cnt = 0", "has_rst": "rst_cnt > 0", "has_fin": "fin_cnt > 0",
+        "one_way": "bwd_pkts = 0", "tiny_flow": "fwd_pkts + bwd_pkts <= 2",
+        "priv_port": "dst_port < 1024", "ephemeral_dst": "dst_port >= 32768",
+        "src_internal": src_in, "is_outbound": out, "is_inbound": back, "is_internal": f"({src_in} and {dst_in})",
+        "proto_tcp": "protocol = 6", "proto_udp": "protocol = 17", "proto_icmp": "protocol = 1",
+        "outbound_bytes": f"case when {out} then fwd_bytes when {back} then bwd_bytes else 0 end",
+        "inbound_bytes": f"case when {out} then bwd_bytes when {back} then fwd_bytes else 0 end",
+        **{f"svc_{name}": f"dst_port in ({', '.join(map(str, ports))})" for name, ports in SERVICE_PORTS.items()},
     }
-    for name, ports in SERVICE_PORTS.items():
-        out[f"svc_{name}"] = port.isin(*ports)
-    return out
+    return {name: F.expr(sql) for name, sql in text.items()}
+
+
+def _prefix_text(column: str, prefixes: tuple[str, ...]) -> str:
+    """SQL text of "the address starts with one of the prefixes" (a missing address does not)."""
+    if not all(set(p) <= set("0123456789abcdefABCDEF.:") for p in prefixes):
+        raise ValueError(f"address prefixes may hold only digits, letters a-f, dots and colons: {prefixes}")
+    tests = " or ".join(f"startswith({column}, '{p}')" for p in prefixes) or "false"
+    return f"coalesce({tests}, false)"
 
 
 def parse_port(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from typing import Any, Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -22,16 +23,31 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
     names = df.columns
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, None
+        last, state = None, None
         for batch in batches:
-            key_rows = zip(*(batch.column(names.index(k)).to_pylist() for k in keys))
-            value_rows = zip(*(batch.column(names.index(c)).to_pylist() for c in inputs))
+            if not batch.num_rows:
+                continue
+            fresh = _key_changes(batch, [names.index(k) for k in keys])
+            first, end = (tuple(batch.column(names.index(k))[i].as_py() for k in keys) for i in (0, batch.num_rows - 1))
+            fresh[0] = first != last
+            last = end
             out = []
-            for key, values in zip(key_rows, value_rows):
-                if key != current:
-                    current, state = key, start()
+            for new, values in zip(fresh, zip(*(batch.column(names.index(c)).to_pylist() for c in inputs))):
+                if new:
+                    state = start()
                 state, value = step(state, *values)
                 out.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*names, output])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
+
+
+def _key_changes(batch: pa.RecordBatch, columns: list[int]) -> list[bool]:
+    """Per row, whether any key column differs from the row before (the first row is left to the caller)."""
+    n = batch.num_rows
+    changed = pa.array([False] * (n - 1), pa.bool_())
+    for i in columns:
+        here, before = batch.column(i).slice(1), batch.column(i).slice(0, n - 1)
+        differs = pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.xor(here.is_null(), before.is_null()))
+        changed = pc.or_(changed, differs)
+    return [False, *changed.to_pylist()]

@@ -27,7 +27,7 @@ def _merge_windows(grid: Grid, parts: list[DataFrame], columns: list[str]) -> Da
     """Bring (split, w) tables with disjoint columns together: one union and one group-by instead of joins."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [grid.spine(), *parts])
     return stacked.groupBy("split", "w").agg(
-        F.max("ts").alias("ts"), *(F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
+        F.max("ts").alias("ts"), *(F.expr(f"coalesce(cast(max({c}) as double), 0.0D)").alias(c) for c in columns))
 
 
 # --- A1-A3, A8: everything that merges by sum, min, max and moments --------------------------------------
@@ -66,11 +66,11 @@ def volume_features(flows: DataFrame, grid: Grid, internal: tuple[str, ...]) ->
         F.sum("bytes").alias("bytes_total"), (F.sum("bytes") / length).alias("bytes_per_s"),
         F.sum("pkts").alias("pkts_total"), (F.sum("pkts") / length).alias("pkts_per_s"),
     ]
-    out += [(F.sum(f"r_{c}") / total).alias(f"{c}_rate") for c in RATE_BASES]
+    out += [F.expr(f"sum(r_{c}) / sum(n_flows) as {c}_rate") for c in RATE_BASES]
     for col, how in STATISTICS:
         name = f"{col}_{how}"
         if how == "mean":
-            out.append(F.try_divide(F.sum(f"s_{col}"), F.sum(f"k_{col}")).alias(name))
+            out.append(F.expr(f"try_divide(sum(s_{col}), sum(k_{col})) as {name}"))
         elif how == "std":
             k = F.sum(f"k_{col}")
             out.append(F.when(k > 1, F.sqrt(F.sum(f"m2_{col}") / (k - 1))).alias(name))
@@ -137,18 +137,20 @@ def source_ports(flows: DataFrame, grid: Grid) -> DataFrame:
 def scan_features(flows: DataFrame, grid: Grid) -> DataFrame:
     """Share of neighbouring ports on a (source, destination) pair that differ by 1; widest pair.
 
-    A pair has at most 65,536 ports, so the sort inside a pair is bounded. ``c > 0`` always holds: it keeps
-    the count in this branch so that its shuffle of edges is the very one ``spread_features`` makes (reused).
+    Neighbours in sorted order differ by 1 exactly when a port and its successor are both present, so no sort is
+    needed: each port stands for itself and announces its successor, and a port that was announced is a hit. All
+    of it happens where the pair's rows already are. ``c > 0`` always holds: it keeps the count in this branch so
+    that its shuffle of edges is the very one ``spread_features`` makes (reused).
     """
     pair = ["split", "w", "src_ip", "dst_ip"]
-    ports = (grid.to_windows(edges(flows, grid).where(F.col("c") > 0)).select(*pair, "dst_port")
-             .repartition(*pair).distinct())
-    order = Window.partitionBy(*pair).orderBy("dst_port")
-    step = ports.withColumn("step", F.col("dst_port") - F.lag("dst_port").over(order))
-    by_pair = step.groupBy(*pair).agg(
-        F.count_if(F.col("step") == 1).alias("seq"), F.count("step").alias("steps"), F.count("*").alias("ports"))
+    ports = grid.to_windows(edges(flows, grid).where(F.col("c") > 0)).select(*pair, "dst_port").repartition(*pair)
+    both = F.explode(F.expr("array(struct(dst_port as port, true as here), struct(dst_port + 1 as port, false as here))"))
+    met = ports.select(*pair, both.alias("p")).groupBy(*pair, "p.port").agg(
+        F.bool_or("p.here").alias("here"), F.bool_or(~F.col("p.here")).alias("announced"))
+    by_pair = met.groupBy(*pair).agg(
+        F.count_if(F.col("here") & F.col("announced")).alias("seq"), F.count_if("here").alias("ports"))
     return by_pair.groupBy("split", "w").agg(
-        F.coalesce(F.try_divide(F.sum("seq"), F.sum("steps")), F.lit(0.0)).alias("seq_port_ratio"),
+        F.coalesce(F.try_divide(F.sum("seq"), F.sum(F.col("ports") - 1)), F.lit(0.0)).alias("seq_port_ratio"),
         F.max("ports").alias("ports_per_pair_max"))
 
 
@@ -158,8 +160,9 @@ def beacon_features(flows: DataFrame, grid: Grid) -> DataFrame:
     """The most regular (source, destination) spacing of a window, 1 / (1 + std / mean of its gaps).
 
     Gaps are taken inside short pieces of time (so a pair with a third of all flows is many small sorts),
-    each piece is kept as (count, first, last, sum of squared gaps), and pieces are stitched per window by
-    the one gap between a piece's first flow and the previous piece's last.
+    each piece is kept as (count, first, last, sum of squared gaps), and pieces are stitched by the one gap
+    between a piece's first flow and the previous piece's last. That gap belongs to the windows which hold both
+    pieces, so pieces are put in order once per pair, not once per window.
     """
     spec = grid.spec
     pieces = BEACON_PIECES if spec.slice_us % BEACON_PIECES == 0 else 1
@@ -173,12 +176,12 @@ def beacon_features(flows: DataFrame, grid: Grid) -> DataFrame:
                .agg(F.count("*").alias("c"), F.min("at").alias("first"), F.max("at").alias("last"),
                     F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)).alias("sq"))
                .withColumn("slice_no", _div(F.col("piece"), pieces)))
-    key = ["split", "w", "src_ip", "dst_ip"]
-    placed = grid.to_windows(summary)
-    join = F.col("first") - F.lag("last").over(Window.partitionBy(*key).orderBy("piece"))
-    stitched = placed.withColumn("join", join).groupBy(*key).agg(
+    along = Window.partitionBy("split", "src_ip", "dst_ip").orderBy("piece")
+    linked = summary.withColumns({"prev_piece": F.lag("piece").over(along), "joint": F.col("first") - F.lag("last").over(along)})
+    together = F.col("prev_piece") >= F.col("w") * F.lit(spec.slices_per_stride * pieces)
+    stitched = grid.to_windows(linked).groupBy("split", "w", "src_ip", "dst_ip").agg(
         (F.sum("c") - 1).alias("gaps"), (F.max("last") - F.min("first")).alias("total"),
-        (F.sum("sq") + F.coalesce(F.sum(F.col("join") * F.col("join")), F.lit(0.0))).alias("sq"))
+        (F.sum("sq") + F.coalesce(F.sum(F.when(together, F.col("joint") * F.col("joint"))), F.lit(0.0))).alias("sq"))
     enough = stitched.where(F.col("gaps") >= 3)
     mean = F.col("total") / F.col("gaps")
     var = (F.col("sq") - F.col("total") * mean) / (F.col("gaps") - 1)

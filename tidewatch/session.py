@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # rows are copied into windows and facets after a shuffle, so a small shuffle can still be much work
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM leaves methods over 8,000 bytes of code uncompiled; a stage that large runs faster without being fused
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 #: static, so only for sessions made here: plans hold hundreds of expressions, and recording a Python call
 #: site for each of them doubles the time it takes to build one
@@ -34,13 +39,35 @@ def local_session(cores: int | str = 8, name: str = "tidewatch", **extra: str) -
     }
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the run-time settings on a session made elsewhere."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give Python workers this package, once per application: the folds and stateful operators run in them, and
+    a worker's import path is not the driver's. A cluster that already installs the package is not affected."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return spark
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidewatch-"), "tidewatch.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
     return spark
 
 
