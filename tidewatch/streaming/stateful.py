@@ -6,11 +6,13 @@ time to live. Where the batch operator is exact over all history, the processor
 
 from __future__ import annotations
 
+import sys
 from bisect import insort
 from typing import Any, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidewatch.operators.flows import ACK, ENDS, FIN, RST, SYN, TIMEOUT_US, flow_packets, with_ends
 from tidewatch.schema import BASELINE_MIN, BASELINE_WINDOWS, TREND_BASES, Z_CLIP
 
+# The process that sets a stream's processors up does not see files added to the application, so processors
+# travel by value instead of by import.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _us(values: pd.Series) -> np.ndarray:
     return values.to_numpy("datetime64[us]").astype("int64")
