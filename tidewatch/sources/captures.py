@@ -12,16 +12,21 @@ import glob
 import hashlib
 import os
 import struct
+import sys
 from collections import deque
 from typing import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidewatch.schema import PACKET_SCHEMA
 
+# The process that plans a Python source does not see files added to the application: the source travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BATCH_ROWS = 20_000
 CHUNK = 1 << 22
 # --- fixed values: file magic -> (byte order, ticks per second); link types; ether types -----------------
