@@ -4,9 +4,9 @@ shingle sets, and components by large-star and small-star.
 1. One Arrow pass makes per row: the number of distinct five-word shingles, a 128-bit key of the set (equal sets have
    equal keys) and ``BANDS * ROWS`` minima of universal hashes. Equal sets become one class before anything else, so
    exact copies never meet in a bucket.
-2. Bucket = (band, hash of its minima). First every member is compared with the bucket's smallest id. Buckets whose
-   members are then in one component are done. In the others every pair from two different components is compared, in
-   blocks of linear size, so no link is lost and no group is expanded into all its pairs.
+2. Bucket = (band, hash of its minima), its leader the smallest id in it. First every class is compared with the smallest
+   of its leaders, one pair each. Buckets whose members are then in one component are done. Members of the others go
+   through an exact prefix filter on their rarest shingles. So no link is lost, and no group is expanded into all its pairs.
 3. A pair is compared by signature first (``LEAST_AGREEMENT``: more than six standard deviations below the
    threshold), the rest exactly by the sizes of intersection and union.
 
@@ -16,12 +16,11 @@ probability below 1e-10. A pair at the threshold itself shares no bucket with pr
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import mix64, pieces, text_buffers, windows_of, words_of
@@ -32,8 +31,6 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 #: share of equal minima below which a pair can't reach 0.75: 128 minima have a standard deviation of 0.038
 LEAST_AGREEMENT = 0.5
-#: pairs compared in one block, as a multiple of the rows in buckets
-BLOCK = 4
 
 _rng = np.random.Generator(np.random.PCG64(20_240_601))
 _A = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -123,6 +120,36 @@ def _confirmed(pairs: DataFrame, features: DataFrame, docs: DataFrame, percent:
         .where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("u", "v").distinct())
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that still hold more than one component, with their root."""
+    placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    ends = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    return placed.join(ends.where("x <> y").select("bucket"), "bucket", "left_semi")
+
+
+def _prefix_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Every pair of ``rest(id, root)`` from two components that can reach the threshold.
+
+    Ordered from the rarest shingle, two sets of the threshold's similarity share one of their first
+    ``n - ceil(n * percent / 100) + 1``. Members of a family that differ by own edits have rare shingles there, so
+    few of them meet, however many they are.
+    """
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(rest, "id", "left_semi")
+    each = texts.mapInArrow(_sets, "id long, shingles array<long>").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    each = cut_lineage(each)
+    shared = each.join(each.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"), "shingle")
+    by_id = Window.partitionBy("id", "n")
+    # the shingles that only one set has come first; ``after`` counts those behind a place
+    placed = shared.select("id", "n", "shingle", (F.count("*").over(by_id) - F.row_number().over(by_id.orderBy("f", "shingle"))).alias("after"))
+    prefix = placed.where(F.col("after") + 1 >= F.ceil(F.col("n") * percent / 100))
+    prefix = cut_lineage(prefix.join(rest, "id").select("shingle", "id", "n", "root", "after"))
+    left = prefix.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "root", "after")])
+    # from its first common shingle on, a pair can share no more than what either set has left
+    near = left.join(prefix, "shingle").where(
+        f"id > p_id and root <> p_root and (1 + least(after, p_after)) * {100 + percent} >= {percent} * (n + p_n)")
+    return near.select(F.col("p_id").alias("u"), F.col("id").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -145,28 +172,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("bucket", "first")
     members = cut_lineage(buckets.join(shared, "bucket").select("bucket", "first", "id").distinct())
     rows = members.count()
-    leaders = members.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-    edges = _confirmed(leaders, reps, docs, percent) if rows else None
-    roots = components(edges) if rows else None
-    block, blocks = 0, 1
-    while rows and block < blocks:
-        placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "first", "id", F.coalesce("root", "id").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        placed = cut_lineage(placed.join(mixed, "bucket", "left_semi"))
-        if not block:
-            sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            pairs = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")).cast("decimal(38,0)"))).first()[0] or 0
-            blocks = math.ceil(int(pairs) / 2 / (BLOCK * rows + 100_000))
-            if not blocks:
-                break
-        left = placed.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("bucket", F.col("id").alias("p"), F.col("root").alias("p_root"))
-        more = (left.join(placed, "bucket").where("root <> p_root and id <> first and p <> first")
-                .select(F.least("p", "id").alias("u"), F.greatest("p", "id").alias("v")).distinct())
-        found = _confirmed(more, reps, docs, percent)
+    edges = roots = None
+    if rows:
+        # one pair per member first: with the smallest leader of all its buckets
+        least = members.where("id <> first").groupBy("id").agg(F.min("first").alias("u")).select("u", F.col("id").alias("v"))
+        edges = _confirmed(least, reps, docs, percent)
+        roots = components(edges)
+        rest = cut_lineage(_mixed(members, roots).select("id", "root").distinct())
+        found = _confirmed(_prefix_pairs(rest, docs, percent), reps, docs, percent)
         if found.count():
             edges = cut_lineage(edges.union(found))
-            roots = components(edges)
-        block += 1
     links = copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     roots = components(links.union(edges) if rows else links)
     out = features.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
