@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.bitmap import Bitmap, bitmap_of
 from tidewatch.llm.common import mix64, pieces, text_buffers, windows_of, words_of
 from tidewatch.llm.components import components
 from tidewatch.session import cut_lineage
@@ -71,15 +72,32 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "key1", "key2", "signature"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(only: Bitmap | None):
+    """``(bucket, id)`` for every band of every row; with a bitmap, only for buckets that may be in it."""
     weights = mix64(np.arange(1, ROWS + 1, dtype=np.uint64))
     seeds = mix64(np.arange(101, 101 + BANDS, dtype=np.uint64))
-    for batch in batches:
-        if batch.num_rows:
-            all_minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
-            buckets = mix64((all_minima.astype(np.uint64) * weights).sum(axis=2) + seeds)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1).view(np.int64)), pa.array(ids)], ["bucket", "id"])
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                all_minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
+                buckets = mix64((all_minima.astype(np.uint64) * weights).sum(axis=2) + seeds).reshape(-1).view(np.int64)
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+                if only is not None:
+                    hit = only.may_hold(buckets)
+                    buckets, ids = buckets[hit], ids[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ids)], ["bucket", "id"])
+
+    return bands
+
+
+def _rows_in(only: Bitmap):
+    """The rows whose first column may be in the bitmap."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(only.may_hold(batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return rows
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,28 +108,39 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(near)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 64):
-            part = batch.slice(a, 64)
-            sets = [s.view(np.int64) for s in shingle_sets(part.column(1))]
-            ends = np.cumsum([0, *map(len, sets)])
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["id", "shingles"])
+def _sets(only: Bitmap):
+    """``(id, shingles)`` of the texts whose id may be in the bitmap."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(only.may_hold(batch.column(0).to_numpy(zero_copy_only=False))))
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                own = [s.view(np.int64) for s in shingle_sets(part.column(1))]
+                ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], ["id", "shingles"])
+
+    return sets
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, shingles)`` of the documents in ``ids(id)``, checkpointed. Texts are read again, never shuffled."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    some = texts.mapInArrow(_sets(bitmap_of(ids)), "id long, shingles array<long>")
+    return cut_lineage(some.join(ids, "id", "left_semi"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
 
 
-def _confirmed(pairs: DataFrame, features: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose full sets reach the threshold, checkpointed."""
-    ends = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    signed = features.select(F.col("doc_id").alias("id"), "signature").join(ends, "id", "left_semi")
-    near = (pairs.join(signed.select(F.col("id").alias("v"), F.col("signature").alias("right")), "v")
-            .join(signed.select(F.col("id").alias("u"), F.col("signature").alias("left")), "u")
-            .select("u", "v", "left", "right").mapInArrow(_agree, "u long, v long"))
-    near = cut_lineage(near)
-    # only texts that are still in a pair are read again for their full sets
-    ends = near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ends, "id", "left_semi")
-    sets = texts.mapInArrow(_sets, "id long, shingles array<long>")
+    pairs = cut_lineage(pairs)
+    signed = reps.mapInArrow(_rows_in(bitmap_of(_ends(pairs))), "id long, signature binary")
+    near = cut_lineage(pairs.join(signed.select(F.col("id").alias("v"), F.col("signature").alias("right")), "v")
+                       .join(signed.select(F.col("id").alias("u"), F.col("signature").alias("left")), "u")
+                       .select("u", "v", "left", "right").mapInArrow(_agree, "u long, v long"))
+    sets = _full_sets(docs, _ends(near))
     common = F.size(F.array_intersect("a", "b"))
     return cut_lineage(
         near.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
@@ -134,9 +163,7 @@ def _prefix_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ``n - ceil(n * percent / 100) + 1``. Members of a family that differ by own edits have rare shingles there, so
     few of them meet, however many they are.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(rest, "id", "left_semi")
-    each = texts.mapInArrow(_sets, "id long, shingles array<long>").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    each = cut_lineage(each)
+    each = _full_sets(docs, rest.select("id")).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     shared = each.join(each.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"), "shingle")
     by_id = Window.partitionBy("id", "n")
     # the shingles that only one set has come first; ``after`` counts those behind a place
@@ -167,9 +194,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     of_class = filled.select("doc_id", *keys).join(classes.where("n > 1"), keys)
     copies = of_class.where("doc_id <> rep")
     # one row per class; an id that occurs with several texts stands for each of its classes
-    reps = filled.join(copies.select("doc_id", *keys), ["doc_id", *keys], "left_anti").select("doc_id", "signature")
-    buckets = reps.mapInArrow(_bands, "bucket long, id long")
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("bucket", "first")
+    reps = filled.join(copies.select("doc_id", *keys), ["doc_id", *keys], "left_anti").select(F.col("doc_id").alias("id"), "signature")
+    reps = cut_lineage(reps)
+    shared = reps.mapInArrow(_bands(None), "bucket long, id long").groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("bucket", "first")
+    shared = cut_lineage(shared)
+    # most buckets hold one member; the bitmap keeps these from the second shuffle
+    buckets = reps.mapInArrow(_bands(bitmap_of(shared.select("bucket"))), "bucket long, id long")
     members = cut_lineage(buckets.join(shared, "bucket").select("bucket", "first", "id").distinct())
     rows = members.count()
     edges = roots = None
