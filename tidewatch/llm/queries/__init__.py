@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op02", "op06", "op07", "op08", "op10")
+MODULES = ("op02", "op04", "op05", "op06", "op07", "op08", "op09", "op10")
 
 
 def families():
