@@ -65,7 +65,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find, self.known = regex.compile(pattern).findall, {}
+        self.find, self.known, self.older = regex.compile(pattern).findall, {}, {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> PieceEncoder:
@@ -75,11 +75,13 @@ class PieceEncoder:
         return cls.kept[path, pattern]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        known = self.known
-        if len(known) > PIECES_MOST:
-            known.clear()
+        if len(self.known) > PIECES_MOST:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         pieces = [self.find(t) for t in texts]
-        new = list({p for found in pieces for p in found if p not in known})
+        missed = {p for found in pieces for p in found if p not in known}
+        known.update((p, older[p]) for p in missed if p in older)
+        new = [p for p in missed if p not in known]
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):

@@ -143,7 +143,7 @@ def _tables(rows) -> tuple[np.ndarray, np.ndarray]:
         return out
 
     clean_texts, toxic_texts = grid(2, 1)[:, 0]
-    overall = max(toxic_texts, 1) / max(toxic_texts + clean_texts, 2)
+    overall = min(max(toxic_texts / max(toxic_texts + clean_texts, 1), 0.01), 0.99)
     stems, words = grid(1, STEMS), grid(0, WORDS)
     odds, z = _log_odds(stems[1], stems[0], toxic_texts, clean_texts, np.full(STEMS, overall))
     stem = np.where(z >= Z + 1, np.minimum(odds, TOP), 0.0)
