@@ -19,9 +19,9 @@ data, bounds its size); caches of states and pieces are dropped when full, which
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ NEVER = 1 << 60
 NODE_BITS, START = 24, 1 << 30
 NODE_MASK = (1 << NODE_BITS) - 1
 STATES_MOST = 200_000
-PIECES_MOST = 300_000
+PIECES_MOST = 350_000
 #: bytes after which settled tokens are let out; open ones are bounded by the longest token
 LOOKAHEAD = 64
 PAIRS_MOST = 1_000_000
@@ -213,26 +213,28 @@ class Transducer:
 
 
 class Encoder:
-    """Whole texts: every match of the pattern goes through the transducer; frequent pieces are remembered."""
+    """Whole texts: every match of the pattern goes through the transducer; recent pieces are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst, self.find, self.known = Transducer(ranks), regex.compile(pattern).findall, {}
-
-    def into(self, text: str, ids: array) -> None:
-        known = self.known
-        if len(known) >= PIECES_MOST:
-            known.clear()
-        found = self.find(text)
+        self.fst, self.find = Transducer(ranks), regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        if len(self.known) >= PIECES_MOST:
+            self.known, self.older = {}, self.known
+        known, found = self.known, self.find(text)
         tokens = list(map(known.get, found))
         if None in tokens:
-            encode = self.fst.encode
+            older, encode = self.older, self.fst.encode
             for i, t in enumerate(tokens):
                 if t is None:
                     piece = found[i]
-                    t = tokens[i] = known.get(piece) or encode(piece.encode())
+                    t = tokens[i] = known.get(piece) or older.get(piece) or array("i", encode(piece.encode())).tobytes()
                     if len(piece) <= 64:
                         known[piece] = t
-        ids.extend(chain.from_iterable(tokens))
+        return b"".join(tokens)
 
 
 #: UTF-8 machine: state = bytes still missing, with the four states whose next byte is restricted
@@ -301,22 +303,20 @@ def codec(spark: SparkSession, rank_file: str, pattern: str) -> tuple[Callable[[
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _once("e" + key, lambda: Encoder(ranks.value, pattern))
-        ids, ends = array("i"), [0]
-        for text in texts:
-            value = text.as_py()
-            if value:
-                encoder.into(value, ids)
-            ends.append(len(ids))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+        # the caches hold millions of objects and no cycles; the collector would walk them again and again
+        gc.disable()
+        rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
     @F.arrow_udf("binary")
     def decode(rows: pa.Array) -> pa.Array:
         bytes_of = _once("d" + key, lambda: {rank: token for token, rank in ranks.value.items()}).__getitem__
+        ids, ends, there = rows.values.to_numpy(), rows.offsets.to_numpy(), rows.is_valid().to_pylist()
         out = []
-        for row in rows:
-            ids = row.values.to_pylist() if row.is_valid else []
+        for i, valid in enumerate(there):
             stream = StreamDecoder(bytes_of)
-            parts = [stream.feed(ids[i:i + CHUNK]) for i in range(0, len(ids), CHUNK)]
+            parts = [stream.feed(ids[a:min(a + CHUNK, ends[i + 1])].tolist()) for a in range(ends[i], ends[i + 1], CHUNK)] if valid else []
             out.append(b"".join([*parts, stream.close()]))
         return pa.array(out, pa.binary())
 
