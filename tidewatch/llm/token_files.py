@@ -12,9 +12,11 @@ At most one count per vocabulary entry reaches the driver.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 1 << 16
-PIECES_MOST = 300_000
+PIECES_MOST = 400_000
 END_ID = 0
 
 #: token lengths by control byte
@@ -85,7 +87,7 @@ class PieceEncoder:
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, np.uint32).tobytes()
+                known[piece] = array("I", e.ids).tobytes()
         for found in pieces:
             yield np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
 
@@ -93,6 +95,8 @@ class PieceEncoder:
 def _encoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = PieceEncoder.of(path, pattern), zstandard.ZstdCompressor(level=1)
+        # the remembered pieces are many objects without cycles; the collector would walk them again and again
+        gc.disable()
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
