@@ -74,17 +74,28 @@ def retransmissions(spark, sf):
 
 
 cte("pdup", "select *, frame_no // (32768 * 1024) as fno, concat(ttl, '|', dst_port % 10, '|', tcp_win) as digest from pk")
-cte("pdup2", "select *, fno - lag(fno) over (partition by split, digest order by fno, at_us) as back from pdup")
+# the last 64 packets kept, carried along each capture
+cte("pdup1", "select split, digest, at_us, row_number() over (partition by split order by fno, at_us) as k from pdup")
+_KEPT = """with recursive {head} walk(split, k, recent, again, at_us) as (
+  select distinct split, cast(0 as bigint), cast([] as varchar[]), false, cast(null as bigint) from pdup1
+  union all select o.split, o.k, case when list_contains(recent, digest) then recent else list_append(recent[-63:], digest) end,
+    list_contains(recent, digest), o.at_us from walk w join pdup1 o on o.split = w.split and o.k = w.k + 1)
+"""
 
 
-@query("capture_manifest", table(q(
-    "select split, concat(split, '.pcap') as capture, count(*) filter (where back is null or back > 64) as packets, 0 as frames_skipped, count(*) filter (where back <= 64) as duplicates_dropped, "
-    "min(at_us) as first_packet from pdup2 group by split"), s="split capture", i="packets frames_skipped duplicates_dropped first_packet"))
+def _kept(sql: str) -> str:
+    head = q("select 1 from pdup1").removeprefix("with ").removesuffix(" select 1 from pdup1")
+    return _KEPT.format(head=head + ",") + sql
+
+
+@query("capture_manifest", table(_kept(
+    "select split, concat(split, '.pcap') as capture, count(*) filter (where not again) as packets, 0 as frames_skipped, count(*) filter (where again) as duplicates_dropped, "
+    "min(at_us) filter (where not again) as first_packet, max(at_us) filter (where not again) as last_packet from walk where k > 0 group by split"), s="split capture", i="packets frames_skipped duplicates_dropped first_packet last_packet"))
 def capture_manifest(spark, sf):
     """S7 + S15: near-identical frames dropped, then counted per capture."""
     rows = packets(spark, sf).withColumns({
         "frame_no": F.expr("frame_no div (32768 * 1024)"), "ip_digest": F.concat_ws("|", "ttl", F.col("dst_port") % 10, "tcp_win"), "skipped": F.lit(False)})
-    return pk.capture_manifest(rows, pk.drop_capture_duplicates(rows)).drop("last_packet")
+    return pk.capture_manifest(rows, pk.drop_capture_duplicates(rows))
 
 
 cte("fp0", "select *, src_ip < dst_ip or (src_ip = dst_ip and src_port <= dst_port) as from_a, case when protocol = 6 then tcp_flags else 0 end as fl from pk where protocol in (6, 17)")

@@ -521,6 +521,20 @@ def result_payload(spark, sf):
     return reports.payload(source, reports.timeline(a), runs, leads, stage_catalogue_column())
 
 
+@query("payload_windows", table(q("select split, w // 100 as page, w, score, threshold, alarm from al"), s="split", i="page w alarm", d="score threshold"))
+def payload_windows(spark, sf):
+    """Every window read back from the documents, in pages of 100."""
+    from tidewatch.sources.dimensions import stage_catalogue_column
+    a = alarmed(spark, sf)
+    onset = targets.episode_onsets(a, "compromise")
+    runs = alerts.alarm_runs(a, onset, K, 1800.0)
+    leads = episodes.lead_summary(episodes.lead_times(a, onset, K, persistence=2), 1800.0)
+    source = a.groupBy("split").agg(F.count("*").alias("windows"))
+    docs = reports.payload(source, reports.timeline(a), runs, leads, stage_catalogue_column(), page_windows=100)
+    back = F.from_json("payload", "timeline array<struct<w: bigint, score: double, threshold: double, alarm: boolean>>")
+    return docs.select("split", "page", F.explode(back["timeline"]).alias("t")).select("split", "page", "t.*")
+
+
 @query("timeline_page", table(q("select split, w, score, threshold, alarm from al where w between 5 and 60"), s="split", i="w alarm", d="score threshold"))
 def timeline_page(spark, sf):
     return reports.timeline(alarmed(spark, sf), 5, 60).select("split", "w", "score", "threshold", "alarm")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,21 @@ DUPLICATE_FRAMES = 64
 
 
 def drop_capture_duplicates(packets: DataFrame, frames: int = DUPLICATE_FRAMES) -> DataFrame:
-    """Drop a packet whose bytes equal those of a packet at most ``frames`` frames before it."""
-    same = Window.partitionBy("split", "capture", "ip_digest").orderBy("frame_no")
-    back = F.col("frame_no") - F.lag("frame_no").over(same)
-    return packets.withColumn("_back", back).where(F.col("_back").isNull() | (F.col("_back") > frames)).drop("_back")
+    """Drop a packet whose bytes equal those of one of the last ``frames`` packets kept of its capture.
+
+    What is kept depends on what was kept before, so a capture is folded in frame order (state: ``frames`` digests).
+    Skipped frames carry no digest; they stay and do not count.
+    """
+    def step(recent: deque, digest) -> tuple[deque, int]:
+        if digest is None:
+            return recent, 0
+        if digest in recent:
+            return recent, 1
+        recent.append(digest)
+        return recent, 0
+
+    folded = sorted_fold(packets, ["split", "capture"], ["frame_no", "ts"], ["ip_digest"], lambda: deque(maxlen=frames), step, "_again")
+    return folded.where(F.col("_again") == 0).drop("_again")
 
 
 def capture_manifest(packets: DataFrame, kept: DataFrame) -> DataFrame:

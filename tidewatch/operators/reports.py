@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.columns import json_safe
 from tidewatch.operators.grid import Grid
 
-PAGE_LIMIT = 5000
+PAGE_WINDOWS = 5000
 
 
 def flagged_flows(flows: DataFrame, scores: DataFrame, grid: Grid, stage: int, min_score: float, limit: int = 50) -> DataFrame:
@@ -28,26 +28,28 @@ def flagged_flows(flows: DataFrame, scores: DataFrame, grid: Grid, stage: int, m
 
 
 def timeline(states: DataFrame, page_from: int = 0, page_to: int | None = None) -> DataFrame:
-    """One page of the per-window timeline (at most 5,000 windows a request), numbers JSON-safe."""
-    page_to = page_from + PAGE_LIMIT - 1 if page_to is None else min(page_to, page_from + PAGE_LIMIT - 1)
-    rows = states.where(F.col("w").between(page_from, page_to))
+    """The per-window timeline from ``page_from`` to ``page_to`` (or the end), numbers JSON-safe."""
+    rows = states.where(F.col("w") >= page_from)
+    rows = rows if page_to is None else rows.where(F.col("w") <= page_to)
     kinds = dict(rows.dtypes)
     return rows.select(*(json_safe(F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in rows.columns))
 
 
-def payload(source: DataFrame, rows: DataFrame, alarms: DataFrame, leads: DataFrame, stages: Column) -> DataFrame:
-    """One JSON document per split: its source facts, the timeline page, alarm runs and lead summary.
+def payload(source: DataFrame, rows: DataFrame, alarms: DataFrame, leads: DataFrame, stages: Column, page_windows: int = PAGE_WINDOWS) -> DataFrame:
+    """JSON documents ``(split, page, payload)``: source facts, timeline, alarm runs and lead summary.
 
-    ``rows`` is a page (bounded), so the array gathered per split is bounded too.
+    All windows of ``rows`` are in some page; ``page_windows`` only sets how many documents a long split has, which bounds
+    a document's arrays. Alarm runs stand in the page where they begin. A split without windows has page 0.
     """
     def listed(df: DataFrame, name: str, order: str) -> DataFrame:
+        page = F.expr(f"{order} div {page_windows}").alias("page")
         item = F.struct(F.col(order).alias("_o"), *(F.col(c) for c in df.columns if c != "split"))
-        return df.groupBy("split").agg(F.sort_array(F.collect_list(item)).alias(name)).withColumn(
+        return df.groupBy("split", page).agg(F.sort_array(F.collect_list(item)).alias(name)).withColumn(
             name, F.transform(name, lambda x: x.dropFields("_o")))
 
-    doc = source.join(listed(rows, "timeline", "w"), "split", "left")
-    doc = doc.join(listed(alarms, "alarms", "begin_w"), "split", "left").join(
+    pages = listed(rows, "timeline", "w").join(listed(alarms, "alarms", "begin_w"), ["split", "page"], "full")
+    doc = source.join(pages, "split", "left").join(
         leads.select("split", F.struct(*(c for c in leads.columns if c != "split")).alias("lead_time_summary")), "split", "left")
-    doc = doc.withColumns({"stages": stages, "alarms": F.coalesce("alarms", F.array())})
-    return doc.select("split", F.to_json(F.struct(*(c for c in doc.columns if c != "split")),
-                                         {"ignoreNullFields": "false"}).alias("payload"))
+    doc = doc.withColumns({"stages": stages, "alarms": F.coalesce("alarms", F.array()), "page": F.coalesce("page", F.lit(0).cast("long"))})
+    return doc.select("split", "page", F.to_json(F.struct(*(c for c in doc.columns if c != "split")),
+                                                 {"ignoreNullFields": "false"}).alias("payload"))

@@ -62,7 +62,7 @@ def scorecard(scores: DataFrame, states: DataFrame, horizon: int = HORIZON, n_sh
     leads = back(episodes.strict_lead_times(own, per_run_onsets, horizon))
     s3 = leads.groupBy(*who).agg(F.count_if("detected_early").alias("s3_warned"), F.count("*").alias("s3_episodes"))
     above = null.groupBy(*who).agg(F.count_if("exceeds_p95").alias("s3_above_p95"))
-    fisher = episodes.fisher_combine(null.where(F.col("n_shifts") > 0), who).select(*who, F.col("p_combined").alias("s3_fisher_p"))
+    fisher = episodes.fisher_combine(null, who).select(*who, F.col("p_combined").alias("s3_fisher_p"))
 
     out = scores.select(*who).distinct()
     for part in (s1, comp_pr, s2, s4, lonely, s3, above, fisher):

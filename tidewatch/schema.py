@@ -122,7 +122,7 @@ NOT_IN_BIFLOW = (
 FEATURE_BLOCKS: dict[str, tuple[str, ...]] = {
     "volume": VOLUME, "rates": RATES, "stats": STATS, "spread": SPREAD, "direction": DIRECTION,
     "beacon": ("beacon_score",), "trend": TREND_FEATURES, "flow_packets": FLOW_PACKET_FEATURES,
-    "host_relative": HOST_RELATIVE_FEATURES, "pcap": (*PCAP_FEATURES, HAS_PCAP), "not_in_biflow": NOT_IN_BIFLOW,
+    "host_relative": HOST_RELATIVE_FEATURES, "pcap": (*PCAP_FEATURES, HAS_PCAP), HAS_PCAP: (HAS_PCAP,), "not_in_biflow": NOT_IN_BIFLOW,
 }
 
 
@@ -146,13 +146,14 @@ def validate_flows(df: DataFrame) -> DataFrame:
 
 
 def select_features(names, drop=()) -> list[str]:
-    """Drop whole blocks by name; an unknown block, or a block only partly present, is an error."""
+    """Drop whole blocks by name. A block that is not there at all is ignored; an unknown block, or one only partly
+    present, is an error."""
     names, gone = list(names), set()
     for block in drop:
         if block not in FEATURE_BLOCKS:
             raise ValueError(f"unknown feature block {block!r}; known: {sorted(FEATURE_BLOCKS)}")
         present = set(FEATURE_BLOCKS[block]) & set(names)
-        if present != set(FEATURE_BLOCKS[block]):
+        if present and present != set(FEATURE_BLOCKS[block]):
             raise ValueError(f"block {block!r} is only partly present: {len(present)} of {len(FEATURE_BLOCKS[block])}")
         gone |= present
     return [name for name in names if name not in gone]

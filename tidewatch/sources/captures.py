@@ -161,8 +161,9 @@ def packet_fields(packet: bytes) -> dict:
         out.update(src_port=sport, dst_port=dport, seq=seq, tcp_flags=flags, tcp_win=window, hdr_len=size,
                    payload_len=max(0, total - header - size))
     elif protocol == UDP and len(packet) >= header + 8:
-        sport, dport = struct.unpack_from("!HH", packet, header)
-        out.update(src_port=sport, dst_port=dport, tcp_flags=0, hdr_len=8, payload_len=max(0, total - header - 8))
+        # the datagram's own length: of a fragmented one, the first packet stands for the whole
+        sport, dport, size = struct.unpack_from("!HHH", packet, header)
+        out.update(src_port=sport, dst_port=dport, tcp_flags=0, hdr_len=8, payload_len=max(0, size - 8))
     return out
 
 

@@ -6,7 +6,7 @@ a pure column mapping, which can also be applied to text columns from anywhere e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,7 +88,8 @@ def canonical_flow_log(raw: DataFrame, split: Column, internal: tuple[str, ...],
 
 
 def _text_csv(spark: SparkSession, path) -> DataFrame:
-    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
+    # a file whose header is not that of the others is refused: read by position, its columns would be swapped
+    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("enforceSchema", False).csv(path)
 
 
 def read_flow_log(spark: SparkSession, path, split: str, internal: tuple[str, ...]) -> DataFrame:
@@ -97,12 +98,19 @@ def read_flow_log(spark: SparkSession, path, split: str, internal: tuple[str, ..
 
 
 def read_day_logs(spark: SparkSession, path, internal: tuple[str, ...], rows: int | None = None) -> DataFrame:
-    """S3: full day files; the split is the file's name. Every canonical column must be there."""
-    raw = _text_csv(spark, path)
-    if rows is not None:
-        raw = raw.limit(rows)
+    """S3: full day files; the split is the file's name. Every canonical column must be there.
+
+    ``rows`` keeps the first rows of each file, in the file's order.
+    """
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv(\.gz)?$", "")
-    raw = raw.withColumn("_split", F.url_decode(name))
+    raw = _text_csv(spark, path).withColumns({"_split": F.url_decode(name), "_at": F.col("_metadata.file_block_start")})
+    if rows is not None:
+        # within a block of a file, ids rise in reading order; a block's first rows are enough of it
+        raw = raw.withColumn("_id", F.monotonically_increasing_id())
+        block = Window.partitionBy("_split", "_at").orderBy("_id")
+        raw = raw.withColumn("_n", F.row_number().over(block)).where(F.col("_n") <= rows)
+        raw = raw.withColumn("_n", F.row_number().over(Window.partitionBy("_split").orderBy("_at", "_id"))).where(F.col("_n") <= rows).drop("_id", "_n")
+    raw = raw.drop("_at")
     flows = canonical_flow_log(raw, F.col("_split"), internal)
     return validate_flows(flows.select("split", *FLOW_COLUMNS, *(c for c in PACKET_STAT_COLUMNS if c in flows.columns)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_states(states: DataFrame, path: str, meta: DataFrame | None = None) -> None:
@@ -13,10 +14,16 @@ def write_states(states: DataFrame, path: str, meta: DataFrame | None = None) ->
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def _with_text_keys(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """A partitioned table whose folder names are read as text: inferred types would turn "01" into 1."""
+    found = spark.read.parquet(path).schema
+    kinds = [T.StructField(f.name, T.StringType() if f.name in keys else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(kinds)).parquet(path)
+
+
 def read_states(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
     """The whole matrix or some splits of it (partition pruning; other splits' files are not opened)."""
-    df = spark.read.option("recursiveFileLookup", False).parquet(f"{path}/states")
-    df = df.withColumn("split", F.col("split").cast("string"))
+    df = _with_text_keys(spark, f"{path}/states", "split")
     return df if splits is None else df.where(F.col("split").isin(*splits))
 
 
@@ -27,18 +34,16 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
 def write_hourly(flows: DataFrame, path: str) -> None:
     """Flows staged by (split, hour), for sinks rebuilt a stretch at a time.
 
-    Rows are spread over tasks by (split, hour, a hash), so a busy hour is several files written in parallel.
+    A rebalance by (split, hour) splits a busy hour by its size, so it is as many files as it needs, written in parallel.
     """
-    hour = F.date_format("ts", "yyyyMMddHH")
-    salt = F.pmod(F.hash("src_ip", "src_port", "ts"), F.lit(8))
-    (flows.withColumn("hour", hour).withColumn("_salt", salt).repartition("split", "hour", "_salt").drop("_salt")
+    (flows.withColumn("hour", F.date_format("ts", "yyyyMMddHH")).hint("rebalance", F.col("split"), F.col("hour"))
      .write.mode("overwrite").partitionBy("split", "hour").parquet(path))
 
 
 def read_hours(spark: SparkSession, path: str, start: str, stop: str) -> DataFrame:
     """Flows of the hours ``start`` .. ``stop`` (yyyyMMddHH, inclusive), pruned by folder."""
-    hour = F.col("hour").cast("string")
-    return spark.read.parquet(path).where((hour >= start) & (hour <= stop)).drop("hour")
+    hour = F.col("hour")
+    return _with_text_keys(spark, path, "split", "hour").where((hour >= start) & (hour <= stop)).drop("hour")
 
 
 _SERIES = "array<double>"
