@@ -11,7 +11,7 @@ has the expected number ``E = K n exp(-lambda s)`` in clean text; ``lambda`` sol
 and ``K`` is the mean of clean maxima. A document's evidence is the sum of ``-ln E`` over segments with ``E < 1``; a
 logistic curve fitted on the training texts turns it into the score.
 
-Counts are hashed into ``WORDS`` + ``STEMS`` buckets and summed over all labelled training rows; the tables and the histogram of
+Counts are hashed into ``WORDS`` + ``STEMS`` buckets and summed over a bounded sample of labelled rows; the tables and the histogram of
 evidence, all of bounded size, are what reaches the driver.
 """
 
@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import fold_of, pieces, run_hashes, text_buffers
+from tidewatch.session import cut_lineage
 
 WORDS, STEMS, STEM = 1 << 20, 1 << 16, 4
 PRIOR, Z, DRIFT, TOP = 4.0, 3.0, -0.25, 8.0
+#: labelled rows that the model is fitted on, at most (in expectation)
+SAMPLE = 20_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -168,12 +171,18 @@ def _rate(values: np.ndarray, weights: np.ndarray) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(text, toxic)`` of the training rows: labelled 0 or 1, with text, crc32 of the id not divisible by 5; equal texts with one label count once."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
-    own = docs.where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = own.join(marks, "doc_id").where("text is not null")
-    first = rows.groupBy(F.xxhash64("text").alias("key"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
-    return own.join(first, "doc_id").where("text is not null").select("text", "toxic")
+    """``(text, toxic)`` of a bounded sample of the training rows, checkpointed: labelled 0 or 1, with text, crc32 of the id
+    not divisible by 5. Above ``SAMPLE`` labels, those with the smallest hashes of the id are drawn, about ``SAMPLE`` of them, so
+    the labels can be broadcast and no text is shuffled. Equal texts with one label count once.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    marks = marks.where(fold_of(F.col("doc_id")) != 0).distinct()
+    total = marks.count()
+    drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)).cast("double") * total < float(SAMPLE << 20))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = cut_lineage(own.join(F.broadcast(drawn), "doc_id").withColumn("key", F.xxhash64("text")))
+    first = rows.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return rows.join(F.broadcast(first), ["key", "toxic", "doc_id"]).select("text", "toxic")
 
 
 def _spread(model):
