@@ -69,7 +69,7 @@ def test_names_and_blocks():
     kept = select_features(BASE_FEATURES, ["beacon", "direction"])
     assert len(kept) == 66 and "beacon_score" not in kept
     with pytest.raises(ValueError):
-        select_features(BASE_FEATURES, ["trend"])
+        select_features([*BASE_FEATURES, TREND_FEATURES[0]], ["trend"])
     with pytest.raises(ValueError):
         select_features(BASE_FEATURES, ["nonsense"])
     assert set(FEATURE_BLOCKS["not_in_biflow"]) <= set(BASE_FEATURES)
