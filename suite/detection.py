@@ -180,7 +180,9 @@ def lead_summary(spark, sf):
     return episodes.lead_summary(episodes.lead_times(a, targets.episode_onsets(a), K, persistence=2), 1800.0)
 
 
-_SHIFT = F.col("min_shift") + F.pmod(F.col("i").cast("bigint") * 7919, F.col("n") - 2 * F.col("min_shift"))
+def _shift():
+    return F.col("min_shift") + F.pmod(F.col("i").cast("bigint") * 7919, F.col("n") - 2 * F.col("min_shift"))
+
 cte("wn", "select split, count(*) as n from al group by split")
 cte("rolled", "select a.split, i, b.w, a.alarm and b.eligible as hit from (select split, n, i, 10 + (i * 7919) % (n - 20) as s from wn cross join range(40) x(i) where n > 20) k "
               "join al b on b.split = k.split join al a on a.split = k.split and a.w = (b.w - k.s + k.n) % k.n")
@@ -196,7 +198,7 @@ cte("rcount", "select r.split, r.i, count(distinct o.onset_w) filter (where r.st
     s="split", i="observed n_shifts null_p95 null_max exceeds_p95", d="null_mean p_value"))
 def circular_shift_null(spark, sf):
     a = alarmed(spark, sf)
-    return episodes.circular_shift_null(a, targets.episode_onsets(a), K, 2, 40, shift=_SHIFT)
+    return episodes.circular_shift_null(a, targets.episode_onsets(a), K, 2, 40, shift=_shift())
 
 
 @query("fisher_combine", table(q(
@@ -308,7 +310,9 @@ def primary_target(spark, sf):
     return metrics.primary_target(scores, states, targets.episode_onsets(s, "compromise"))
 
 
-_START = F.pmod(F.col("b").cast("bigint") * 7919 + F.col("j") * 104729, F.col("n") - F.col("block") + 1)
+def _start():
+    return F.pmod(F.col("b").cast("bigint") * 7919 + F.col("j") * 104729, F.col("n") - F.col("block") + 1)
+
 cte("bpick", "select k.split, b, s + x as w from (select split, n, b, j, (b * 7919 + j * 104729) % (n - 20 + 1) as s from wn cross join range(30) r(b) cross join range(200) q(j) where j * 20 < n) k cross join range(20) o(x) where j * 20 + x < n")
 cte("brank", "select bpick.split, b, y, rank() over (partition by bpick.split, b order by score) + (count(*) over (partition by bpick.split, b, score) - 1) / 2.0 as r, "
              "rank() over (partition by bpick.split, b order by score2) + (count(*) over (partition by bpick.split, b, score2) - 1) / 2.0 as r2 from bpick join sc on sc.split = bpick.split and sc.w = bpick.w")
@@ -317,7 +321,7 @@ cte("bauc", "select split, b, case when p > 0 and n > 0 then (s1 - p * (p + 1) /
 
 
 def _boot(spark, sf):
-    return metrics.block_bootstrap(scored(spark, sf).select("split", "w", "y", "score", "score2"), 20, 30, _START, ("score", "score2"))
+    return metrics.block_bootstrap(scored(spark, sf).select("split", "w", "y", "score", "score2"), 20, 30, _start(), ("score", "score2"))
 
 
 @query("block_bootstrap", table(q("select split, 'score' as series, quantile_cont(a1, 0.025) as lo, quantile_cont(a1, 0.975) as hi, count(*) filter (where a1 is null) as dropped from bauc group by split union all "

@@ -18,7 +18,9 @@ from tidewatch.streaming import live, stateful
 
 QUERIES, ORACLES = {}, {}
 HOURLY = WindowSpec(3600, 1800)
-SINCE = F.lit("2024-01-01 00:00:00").cast("timestamp")
+def since():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -87,14 +89,14 @@ cte("lw", "select * from lw0 where start_us >= epoch_us(timestamp '2024-01-01 00
     "case when max(case when s < 6 then s else 0 end) > 0 then max(case when s < 6 then s else 0 end) else max(s) end as stage from (select *, case when attempted then 0 else stage end as s from lw) group by split, start_us"),
     s="split", i="ts n_flows bytes_total stage", d="flows_per_s one_way_rate"))
 def live_windows(spark, sf):
-    out = live.live_windows(flow_stream(spark, sf), HOURLY, INTERNAL, since=SINCE)
+    out = live.live_windows(flow_stream(spark, sf), HOURLY, INTERNAL, since=since())
     return drained(out).select("split", "ts", "n_flows", "flows_per_s", "bytes_total", "one_way_rate", "stage")
 
 
 @query("live_distinct", table(q("select split, start_us as ts, count(distinct dst_port) as uniq_dst_port, count(*) as n_flows from lw group by split, start_us"),
                               s="split", i="ts uniq_dst_port n_flows"))
 def live_distinct(spark, sf):
-    return drained(live.live_distinct(flow_stream(spark, sf), HOURLY, "dst_port", since=SINCE))
+    return drained(live.live_distinct(flow_stream(spark, sf), HOURLY, "dst_port", since=since()))
 
 
 @query("live_minute_stages", table(q(
