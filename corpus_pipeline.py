@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, decontaminate, langid, near_dedup, pii
 from tidewatch.llm.common import free_name, session, table
+from tidewatch.session import cut_lineage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, without the files in between."""
+    """All stages over ``documents``; each result is checkpointed, since the next stage reads it more than once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else cut_lineage(docs), sf_dir)
     return docs
