@@ -147,13 +147,18 @@ def live_flows(spark, sf):
     return drained(stateful.live_flows(packet_stream(spark, sf)))
 
 
-cte("ses0", "select *, case when at_us - lag(at_us) over (partition by split, src_ip, dst_ip, src_port, dst_port, protocol order by at_us) > 120000000 then 1 else 0 end as brk from pk")
+cte("ses0", "select *, case when at_us - lag(at_us) over (partition by split, src_ip, dst_ip, src_port, dst_port, protocol order by at_us) > 120000000 then 1 else 0 end as brk from pk where protocol in (6, 17)")
 cte("ses", "select *, sum(brk) over (partition by split, src_ip, dst_ip, src_port, dst_port, protocol order by at_us rows unbounded preceding) as ses from ses0")
 
 
 @query("live_session_stats", table(q(
-    "select * from (select split, src_ip, dst_ip, src_port, dst_port, protocol, min(at_us) as first_ts, max(at_us) as last_us, count(*) as packet_count, avg(ttl) as ttl_mean, var_pop(ttl) as ttl_variance, max(tcp_win) as tcp_win_max "
-    "from ses group by split, src_ip, dst_ip, src_port, dst_port, protocol, ses) where last_us + 120000000 <= (select max(at_us) // 1000 * 1000 - 60000000 from pk)"),
-    s="split src_ip dst_ip", i="src_port dst_port protocol first_ts packet_count tcp_win_max", d="ttl_mean ttl_variance"))
+    "select * from (select split, src_ip, dst_ip, src_port, dst_port, protocol, min(at_us) as first_ts, max(at_us) as last_us, count(*) as packet_count, avg(ttl) as ttl_mean, var_pop(ttl) as ttl_variance, "
+    "coalesce(avg(case when protocol = 6 then tcp_win end), 0) as tcp_win_mean, coalesce(max(case when protocol = 6 then tcp_win end), 0) as tcp_win_max, "
+    "count(*) filter (where more_frags or frag_off > 0) as ip_frag_count, count(*) filter (where payload_len <= 64) as payload_0_64, "
+    "count(*) filter (where payload_len between 65 and 128) as payload_65_128, count(*) filter (where payload_len between 129 and 512) as payload_129_512, "
+    "count(*) filter (where payload_len between 513 and 1024) as payload_513_1024, count(*) filter (where payload_len > 1024) as payload_gt_1024 "
+    "from ses group by split, src_ip, dst_ip, src_port, dst_port, protocol, ses) where last_us + 120000000 <= (select max(at_us) // 1000 * 1000 - 60000000 from pk where protocol in (6, 17))"),
+    s="split src_ip dst_ip", i="src_port dst_port protocol first_ts packet_count ip_frag_count payload_0_64 payload_65_128 payload_129_512 payload_513_1024 payload_gt_1024",
+    d="ttl_mean ttl_variance tcp_win_mean tcp_win_max"))
 def live_session_stats(spark, sf):
-    return drained(live.live_session_stats(packet_stream(spark, sf))).drop("tcp_win_mean")
+    return drained(live.live_session_stats(packet_stream(spark, sf)))

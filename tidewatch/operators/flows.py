@@ -185,6 +185,13 @@ def assemble_flows(packets: DataFrame, keep_single: bool = False) -> DataFrame:
 SESSION = ["split", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
 
 
+def payload_buckets() -> dict[str, Column]:
+    """F4's payload sizes, each as a test on a packet."""
+    pay = F.col("payload_len")
+    return {"payload_0_64": pay <= 64, "payload_65_128": (pay > 64) & (pay <= 128), "payload_129_512": (pay > 128) & (pay <= 512),
+            "payload_513_1024": (pay > 512) & (pay <= 1024), "payload_gt_1024": pay > 1024}
+
+
 def session_packet_stats(packets: DataFrame) -> DataFrame:
     """per directed 5-tuple: packets, TTL mean and population variance, windows, fragments, back-to-back
     equal sequence numbers, payload buckets.
@@ -195,9 +202,7 @@ def session_packet_stats(packets: DataFrame) -> DataFrame:
     rows = flow_packets(packets).withColumn("block", _div(F.unix_micros("ts"), TIMEOUT_US))
     order = F.struct(*ORDER)
     inside = Window.partitionBy(*SESSION, "block").orderBy(*ORDER)
-    pay, tcp = F.col("payload_len"), F.col("protocol") == 6
-    buckets = {"payload_0_64": pay <= 64, "payload_65_128": (pay > 64) & (pay <= 128), "payload_129_512": (pay > 128) & (pay <= 512),
-               "payload_513_1024": (pay > 512) & (pay <= 1024), "payload_gt_1024": pay > 1024}
+    tcp, buckets = F.col("protocol") == 6, payload_buckets()
     rows = rows.withColumn("repeat", (tcp & (F.lag("seq").over(inside) == F.col("seq"))).cast("int"))
     per_block = rows.groupBy(*SESSION, "block").agg(
         F.count("*").alias("n"), F.sum("ttl").alias("t1"), F.sum(F.col("ttl") * F.col("ttl")).alias("t2"),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import flow_shape
+from tidewatch.functions.columns import flow_shape, zero_if_null
 from tidewatch.functions.labels import effective_stage
+from tidewatch.operators.flows import flow_packets, payload_buckets
 from tidewatch.operators.grid import WindowSpec
 from tidewatch.operators.state import stage_from_mask
 from tidewatch.schema import RATE_BASES, STAGES
@@ -59,11 +60,18 @@ def live_minute_stages(flows: DataFrame, delay: str = "60 seconds") -> DataFrame
 
 
 def live_session_stats(packets: DataFrame, gap: str = "120 seconds", delay: str = "60 seconds") -> DataFrame:
-    """Per directed 5-tuple and session, running packet count, TTL mean and population variance, window stats."""
+    """The statistics of F4 per directed 5-tuple and session (``gap`` without a packet ends one).
+
+    As there, only TCP and UDP packets with ports count and window statistics are TCP's. Repeated sequence numbers are
+    left out: they depend on the order of neighbours, which an aggregate over a stream does not have.
+    """
     keys = ["split", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
-    out = packets.withWatermark("ts", delay).groupBy(*keys, F.session_window("ts", gap).alias("ses")).agg(
+    window = F.when(F.col("protocol") == 6, F.col("tcp_win"))
+    out = flow_packets(packets).withWatermark("ts", delay).groupBy(*keys, F.session_window("ts", gap).alias("ses")).agg(
         F.count("*").alias("packet_count"), F.avg("ttl").alias("ttl_mean"), F.var_pop("ttl").alias("ttl_variance"),
-        F.avg("tcp_win").alias("tcp_win_mean"), F.max("tcp_win").alias("tcp_win_max"))
+        zero_if_null(F.avg(window)).alias("tcp_win_mean"), zero_if_null(F.max(window).cast("double")).alias("tcp_win_max"),
+        F.count_if(F.col("more_frags") | (F.col("frag_off") > 0)).alias("ip_frag_count"),
+        *(F.count_if(test).alias(name) for name, test in payload_buckets().items()))
     return out.select(*keys, F.col("ses.start").alias("first_ts"), *(c for c in out.columns if c not in (*keys, "ses")))
 
 
