@@ -281,15 +281,14 @@ class StreamDecoder:
         return rest
 
 
-_kept: dict[str, object] = {}
+_kept: dict[str, tuple[str, object]] = {}
 
 
-def _once(key: str, make: Callable[[], object]):
-    """One object per worker process and key."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = make()
-    return _kept[key]
+def _once(kind: str, key: str, make: Callable[[], object]):
+    """One object of each kind per worker process, made anew for another key."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept[kind] = key, make()
+    return _kept[kind][1]
 
 
 def codec(spark: SparkSession, rank_file: str, pattern: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
@@ -302,7 +301,7 @@ def codec(spark: SparkSession, rank_file: str, pattern: str) -> tuple[Callable[[
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _once("e" + key, lambda: Encoder(ranks.value, pattern))
+        encoder = _once("encoder", key, lambda: Encoder(ranks.value, pattern))
         # the caches hold millions of objects and no cycles; the collector would walk them again and again
         gc.disable()
         rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
@@ -311,7 +310,7 @@ def codec(spark: SparkSession, rank_file: str, pattern: str) -> tuple[Callable[[
 
     @F.arrow_udf("binary")
     def decode(rows: pa.Array) -> pa.Array:
-        bytes_of = _once("d" + key, lambda: {rank: token for token, rank in ranks.value.items()}).__getitem__
+        bytes_of = _once("bytes", key, lambda: {rank: token for token, rank in ranks.value.items()}).__getitem__
         ids, ends, there = rows.values.to_numpy(), rows.offsets.to_numpy(), rows.is_valid().to_pylist()
         out = []
         for i, valid in enumerate(there):
