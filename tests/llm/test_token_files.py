@@ -40,3 +40,26 @@ def test_empty_table(spark, make_docs):
     folder = token_files.shared_folder(spark)
     token_files.write(make_docs([]), folder, PATH, public_tokenizers.PATTERN)
     assert token_files.read(spark, folder).count() == 0
+
+
+def test_query_gives_the_ids_of_the_untouched_library(spark, make_docs, tmp_path):
+    from tidewatch.llm.queries.op04 import op4_token_id_files
+    library = Tokenizer.from_file(PATH)
+    rows = ODD + [(100, "a <|endoftext|> b"), (101, "x  <|endoftext|>  <|endoftext|><|endoftext|>it's"), (102, "<|endoftext|"), (103, "<<|endoftext|>>\n\n")]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(op4_token_id_files(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    start = 0
+    for (i, text), r in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), got, strict=True):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_tokens_that_take_their_neighbours_go_to_the_library_whole(tmp_path):
+    from tokenizers import AddedToken
+    library = Tokenizer.from_file(PATH)
+    library.add_tokens([AddedToken("<pad>", lstrip=True), AddedToken("<padding>", normalized=False)])
+    library.save(f"{tmp_path}/own.json")
+    texts = ["a <pad> b", "c <padding> d  <|endoftext|> ", "plain text", "<pad><padding>"]
+    encoder = token_files.PieceEncoder(f"{tmp_path}/own.json", public_tokenizers.PATTERN, False)
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]

@@ -11,7 +11,8 @@ from tidewatch.llm.common import session, table
 def op4_token_id_files(spark, sf_dir):
     session(spark)
     folder = token_files.shared_folder(spark)
-    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                      special_as_text=False)
     return token_files.read(spark, folder)
 
 

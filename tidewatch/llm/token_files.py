@@ -58,43 +58,60 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 class PieceEncoder:
-    """The tokenizer file's ids of whole texts. The library cuts a text into pieces by ``pattern`` and merges inside
-    pieces only, so each distinct piece is given to it once and remembered."""
+    """The tokenizer file's ids of whole texts. The library cuts a text at the file's added tokens, what lies between
+    into pieces by ``pattern``, and merges inside pieces only, so each distinct piece is given to it once and remembered.
+    A text with an added token that takes white space or looks at its neighbours goes to the library whole."""
 
-    kept: dict[str, PieceEncoder] = {}
+    kept: dict[tuple, PieceEncoder] = {}
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special_as_text: bool):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = sorted((t.content for t in added), key=len, reverse=True)
+        self.odd = [t.content for t in added if t.single_word or t.lstrip or t.rstrip or t.normalized]
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split
         self.find, self.known, self.older = regex.compile(pattern).findall, {}, {}
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> PieceEncoder:
-        if (path, pattern) not in cls.kept:
+    def of(cls, path: str, pattern: str, special_as_text: bool) -> PieceEncoder:
+        key = (path, pattern, special_as_text)
+        if key not in cls.kept:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            cls.kept[path, pattern] = cls(path, pattern)
-        return cls.kept[path, pattern]
+            cls.kept[key] = cls(*key)
+        return cls.kept[key]
+
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, an added token being one; nothing for a text that the library must see whole."""
+        if not any(t in text for t in self.added):
+            return self.find(text)
+        if any(t in text for t in self.odd):
+            return None
+        return [p for i, part in enumerate(self.cut(text)) for p in ([part] if i % 2 else self.find(part))]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > PIECES_MOST:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        pieces = [self.find(t) for t in texts]
-        missed = {p for found in pieces for p in found if p not in known}
+        pieces = [self.pieces(t) for t in texts]
+        missed = {p for found in pieces for p in found or () if p not in known}
         known.update((p, older[p]) for p in missed if p in older)
         new = [p for p in missed if p not in known]
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[piece] = array("I", e.ids).tobytes()
-        for found in pieces:
-            yield np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
+        for text, found in zip(texts, pieces):
+            if found is None:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                yield np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
 
 
-def _encoded(path: str, pattern: str):
+def _encoded(path: str, pattern: str, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = PieceEncoder.of(path, pattern), zstandard.ZstdCompressor(level=1)
+        encoder, press = PieceEncoder.of(path, pattern, special_as_text), zstandard.ZstdCompressor(level=1)
         # the remembered pieces are many objects without cycles; the collector would walk them again and again
         gc.disable()
         for batch in batches:
@@ -171,14 +188,15 @@ def _read(id_of):
     return run
 
 
-def write(docs: DataFrame, folder: str, path: str, pattern: str) -> None:
+def write(docs: DataFrame, folder: str, path: str, pattern: str, special_as_text: bool = True) -> None:
     """Encode ``docs(doc_id, text, ...)`` by the tokenizer file and write blocks and ranks below ``folder``.
 
-    Null texts are empty; every document ends with ``END_ID``. Rows with a null id come first; rows with the same id
+    With ``special_as_text`` a special token of the file that stands in a text is read as ordinary text; without, it is its
+    one id, as the library has it by default. Null texts are empty; every document ends with ``END_ID``. Rows with a null id come first; rows with the same id
     stay neighbours, in the order of their ids' bytes. An empty table writes an empty table of blocks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.mapInArrow(_encoded(path, pattern), "doc_id long, n long, ids binary").write.option("compression", "none").parquet(f"{folder}/ids")
+    rows.mapInArrow(_encoded(path, pattern, special_as_text), "doc_id long, n long, ids binary").write.option("compression", "none").parquet(f"{folder}/ids")
     spark = docs.sparkSession
     ids = spark.read.parquet(f"{folder}/ids")
     counts = ids.select("n", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
