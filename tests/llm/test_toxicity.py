@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -62,3 +63,10 @@ def test_odd_rows_and_missing_labels(spark, make_docs):
     assert toxicity.scored(make_docs([]), marks).count() == 0
     one = spark.createDataFrame([(i, 1, 1) for i in range(1, 9)], "doc_id long, quality int, toxic int")
     assert toxicity.scored(make_docs(ODD), one).count() == len(ODD)
+
+
+def test_falling_sums_are_scanned_in_linear_time():
+    scores = np.tile([1.0, -2.0], 20_000)
+    start = time.perf_counter()
+    assert toxicity.maximal_segments(scores) == [(i, i + 1, 1.0) for i in range(0, 40_000, 2)]
+    assert time.perf_counter() - start < 3

@@ -2,8 +2,8 @@
 segments, and extreme-value statistics over them.
 
 *Tokens* are runs of ASCII letters and digits or bytes above 127, lower-cased. *Scores*: the log-odds of a token in toxic
-against clean training texts, where the prior of a token's counts is the rate of its stem (first ``STEM`` bytes), and a
-stem's prior is the overall rate; each text counts a token once, and equal texts count once. Scores below ``Z`` standard deviations are replaced by
+against clean training texts, where the prior of the counts of a token, and of its stem (first ``STEM`` bytes), is the
+overall rate; each text counts a token once, and equal texts count once. Scores below ``Z`` standard deviations are replaced by
 the stem's, or by a small negative drift, so that a random text's segments stay short.
 
 *Segments*: the linear-time scan of Ruzzo and Tompa keeps every maximal segment. A segment of score ``s`` in ``n`` tokens
@@ -59,24 +59,24 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``(start, end, score)``, end exclusive, in linear time.
 
     Only positive places open a segment; runs between them are taken from prefix sums. On the stack, each candidate
-    knows the sums before and after it; a new one is joined with the nearest candidate that starts lower, if it ends higher.
+    knows the sums before and after it and the nearest one that starts lower; a new one is joined with the nearest candidate that starts lower, if it ends higher.
     """
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[tuple[int, int, float, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     for at in np.flatnonzero(scores > 0).tolist():
         start, end, low, high = at, at + 1, float(sums[at]), float(sums[at + 1])
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
-            hold = []
+            # those passed over start no lower than the one they are reached from
             while j >= 0 and stack[j][2] >= low:
-                hold.append(j)
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= high:
-                stack.append((start, end, low, high))
+                stack.append((start, end, low, high, j))
                 break
-            start, low = stack[j][0], stack[j][2]
+            start, low, lower = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-    return [(a, b, h - lo) for a, b, lo, h in stack]
+            j = lower
+    return [(a, b, h - lo) for a, b, lo, h, _ in stack]
 
 
 @dataclass
