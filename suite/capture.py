@@ -10,7 +10,7 @@ from tidewatch.operators import flows as assembly
 from tidewatch.operators import packets as pk
 from tidewatch.operators import state
 from tidewatch.schema import PACKET_STAT_COLUMNS, PCAP_FEATURES
-from tidewatch.session import prepare
+from tidewatch.session import cut_lineage, prepare
 from tidewatch.sources import flowlogs, tables
 
 QUERIES, ORACLES = {}, {}
@@ -54,8 +54,9 @@ cte("pvec", "select split, w, " + ", ".join(f"{v} as {c}" for c, v in _PF.items(
 
 
 def packets(spark, sf):
+    """The fixture's packets, written once: numbering them takes a sort, and operators read packets more than once."""
     prepare(spark)
-    return fixtures.packets(spark, sf)
+    return cut_lineage(fixtures.packets(spark, sf))
 
 
 @query("packet_windows", table(q("select psp.split, psp.w, " + ", ".join(

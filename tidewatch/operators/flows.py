@@ -1,18 +1,24 @@
 """Packets -> bidirectional flows (F1-F3), per-session packet statistics (F4), port-scan signatures.
 
 A flow lasts at most 120 s from its first packet, and a pure SYN starts a new one once the old one is closing
-(FIN from both sides, or an RST). Which packet starts a flow depends on the packets before it, so that one
-number comes from a streaming fold; everything else is joins, windows inside a flow, and one group-by.
+(FIN from both sides, or an RST). Which packet starts a flow depends on the packets before it, but only through the flow
+that is open: so packets are dealt into sorted stretches, each stretch is summed up as a function of the open flow, and these
+functions are chained. One shuffle of packets; statistics are combined inside a stretch before they travel.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import zero_if_null
-from tidewatch.operators.folds import sorted_fold
 from tidewatch.operators.grid import _div
+from tidewatch.operators.stretches import STRETCH, dealt, key_at, key_changes
 
 TIMEOUT_US = 120_000_000
 ACTIVITY_US = 5_000_000
@@ -51,48 +57,293 @@ def flow_packets(packets: DataFrame) -> DataFrame:
     return packets.where(F.col("protocol").isin(6, 17) & (F.col("frag_off") == 0))
 
 
-def with_quiet_runs(packets: DataFrame) -> DataFrame:
-    """Adds ``run_no``: packets of one tuple parted by more than the timeout are in different runs.
-
-    A pause that long always starts a flow, so runs fold independently and a busy tuple is spread over many
-    tasks. Pauses are found on a summary with one row per (tuple, 120 s block): a longer pause than a block
-    always crosses a block border.
+#: what a stretch's packets carry from its last flow into the next stretch: time of the flow's first packet, what closes it (1 FIN
+#: from A, 2 FIN from B, 3 closed), the flow's number, times of the last packet, of the last from A, from B, and since when it is active
+OPEN = ("first", "closing", "number", "last", "last_a", "last_b", "opened")
+NEVER = -(1 << 62)
+
+
+class Packets:
+    """Consecutive packets of some tuples as arrays; a segment is one tuple's share."""
+
+    def __init__(self, us: np.ndarray, flags: np.ndarray, from_a: np.ndarray, begins: np.ndarray):
+        self.us, self.from_a, self.count = us, from_a, len(us)
+        self.begins = begins  # first row of each segment
+        self.ends = np.append(begins[1:], self.count)
+        self.segment = np.repeat(np.arange(len(begins)), self.ends - begins)
+        self.end = self.ends[self.segment]
+        fin = flags & FIN > 0
+        self.fin_a, self.fin_b, self.rst = fin & from_a, fin & ~from_a, flags & RST > 0
+        self.syn = (flags & SYN > 0) & (flags & ACK == 0)
+
+    def following(self, mask: np.ndarray) -> np.ndarray:
+        """For each row the first row at or after it, in its segment, where ``mask`` holds; the segment's end where none does."""
+        rows = np.where(mask, np.arange(self.count), self.count)
+        return np.minimum(np.minimum.accumulate(rows[::-1])[::-1], self.end)
+
+    def later_than(self, rows: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """For each of ``rows`` the first row from it on, in its segment, whose time is over ``limit``; the segment's end where none is."""
+        low = int(self.us.min())
+        span = int(self.us.max()) - low + TIMEOUT_US + 2
+        if len(self.begins) * span < 1 << 61:
+            # running maxima of all segments on one rising axis
+            axis = self.segment * span
+            top = np.maximum.accumulate(self.us - low + axis)
+            found = np.searchsorted(top, np.clip(limit - low, -1, span - 2) + axis[rows], "right")
+        else:
+            found = np.empty(len(rows), np.int64)
+            for k in np.unique(self.segment[rows]):
+                a, b = self.begins[k], self.ends[k]
+                own = self.segment[rows] == k
+                found[own] = a + np.searchsorted(np.maximum.accumulate(self.us[a:b]), limit[own], "right")
+        found = np.minimum(found, self.end[rows])
+        for i in np.flatnonzero(found < rows):  # a packet before it was later already
+            over = np.flatnonzero(self.us[rows[i]:self.end[rows[i]]] > limit[i])
+            found[i] = rows[i] + over[0] if len(over) else self.end[rows[i]]
+        return found
+
+    def nexts(self) -> np.ndarray:
+        """For each row where the flow after the one that begins there begins; the segment's end if in no row of it."""
+        if not self.count:
+            return np.zeros(0, np.int64)
+        closes = np.minimum(self.following(self.rst), np.maximum(self.following(self.fin_a), self.following(self.fin_b)))
+        syn = np.append(self.following(self.syn), self.count)
+        reopened = np.minimum(np.where(closes < self.end, syn[np.minimum(closes + 1, self.count)], self.end), self.end)
+        return np.minimum(reopened, self.later_than(np.arange(self.count), self.us + TIMEOUT_US))
+
+    def first_after(self, closing: int) -> int:
+        """Where a pure SYN ends a flow that entered the first segment half closed, by ``closing``; its end if nowhere."""
+        end = int(self.ends[0])
+        closes = -1
+        if closing < 3:
+            fins = [self.following(m)[0] for bit, m in ((1, self.fin_a), (2, self.fin_b)) if not closing & bit]
+            closes = min(int(self.following(self.rst)[0]), max(int(f) for f in fins))
+        return int(self.following(self.syn)[closes + 1]) if closes + 1 < end else end
+
+    def entered(self, state: tuple) -> int:
+        """Where the first segment's first new flow begins, when ``state`` was open before it."""
+        over = self.later_than(np.zeros(1, np.int64), np.array([state[0] + TIMEOUT_US]))
+        return min(int(over[0]), self.first_after(state[1]))
+
+
+def _last(mask: np.ndarray) -> int:
+    rows = np.flatnonzero(mask)
+    return int(rows[-1]) if len(rows) else -1
+
+
+class Summary:
+    """A stretch of one tuple as a function from the state before it to the state after it.
+
+    Whatever flow was open, the first new one begins where its time is up or a SYN meets it closed; from there on
+    all is settled, so it is enough to know, for each row, the last flow of the chain that begins there. Chains come by
+    pointer jumping over ``nexts``.
     """
-    blocked = packets.withColumn("us", F.unix_micros("ts")).withColumn("block", _div(F.col("us"), TIMEOUT_US))
-    summary = blocked.groupBy(*ENDS, "block").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    along = Window.partitionBy(*ENDS).orderBy("block")
-    pause = (F.col("lo") - F.lag("hi").over(along)) > TIMEOUT_US
-    runs = (summary.withColumn("p", F.coalesce(pause, F.lit(False)).cast("int"))
-            .select(*ENDS, "block", F.sum("p").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("run_no")))
-    return blocked.join(runs, [*ENDS, "block"]).drop("block")
-
-
-def _flow_state():
-    return None  # (first_us, fin_a, fin_b, rst, number)
-
-
-def _flow_step(state, us: int, flags: int, from_a: bool):
-    flags = flags or 0
-    syn = bool(flags & SYN) and not flags & ACK
-    if state is None:
-        first, fin_a, fin_b, rst, number = us, False, False, False, 0
-    else:
-        first, fin_a, fin_b, rst, number = state
-        if us - first > TIMEOUT_US or (syn and (rst or (fin_a and fin_b))):
-            first, fin_a, fin_b, rst, number = us, False, False, False, number + 1
-    if flags & FIN:
-        fin_a, fin_b = fin_a or from_a, fin_b or not from_a
-    if flags & RST:
-        rst = True
-    return (first, fin_a, fin_b, rst, number), number
+
+    def __init__(self, p: Packets):
+        jump, n = p.nexts(), p.count
+        rows = np.arange(n)
+        last, steps = np.where(jump < n, jump, rows), (jump < n).astype(np.int64)
+        while True:
+            further = last[last]
+            if (further == last).all():
+                break
+            steps += steps[last]
+            last = further
+        self.top, self.reopens = np.maximum.accumulate(p.us), [p.first_after(c) for c in range(4)]
+        self.us, self.last, self.steps, self.count = p.us, last.astype(np.int32), steps.astype(np.int32), n
+        self.bits = [_last(p.fin_a), _last(p.fin_b), _last(p.rst)]
+        pause = np.zeros(n, bool)
+        pause[1:] = np.diff(p.us) > ACTIVITY_US
+        self.marks = [_last(p.from_a), _last(~p.from_a), _last(pause)]
+
+    def _settled(self, first_row: int, first_us: int, closing: int, number: int, carried: tuple) -> tuple:
+        seen = [at >= max(first_row, 0) for at in self.bits]
+        closing = 3 if closing == 3 or seen[2] else closing | (1 if seen[0] else 0) | (2 if seen[1] else 0)
+        a, b, pause = (int(self.us[at]) if at >= max(first_row, 0) else old for at, old in zip(self.marks, carried))
+        if self.marks[2] <= first_row and first_row >= 0:
+            pause = first_us
+        return first_us, closing, number, int(self.us[-1]), a, b, pause
+
+    def after(self, state: tuple | None) -> tuple:
+        """The state after the stretch; without a state, the first packet begins the tuple's first flow."""
+        start, number = 0, 0
+        if state is not None:
+            start = min(int(np.searchsorted(self.top, state[0] + TIMEOUT_US, "right")), self.reopens[state[1]])
+            if start == self.count:
+                opened = int(self.us[0]) if self.us[0] - state[3] > ACTIVITY_US else state[6]
+                return self._settled(-1, state[0], state[1], state[2], (state[4], state[5], opened))
+            number = state[2] + 1
+        row = int(self.last[start])
+        return self._settled(row, int(self.us[row]), 0, number + int(self.steps[start]), (NEVER, NEVER, int(self.us[row])))
+
+
+_FOLDED = ("us", "tcp_flags", "from_a")
+
+
+def _packets(columns: list[np.ndarray], begins: list[int]) -> Packets:
+    us, flags, from_a = columns
+    return Packets(us.astype(np.int64), flags.astype(np.int64), from_a.astype(bool), np.array(begins, np.int64))
+
+
+def _numpy(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in _FOLDED]
+
+
+def _summaries(names: list[str]):
+    """Per stretch the summary of the first tuple's packets and, if another tuple comes after, the last tuple's state at the end."""
+    at = [names.index(k) for k in ENDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows = None, []
+        own: list[list[np.ndarray]] = []
+        last, head = None, None
+
+        def summary() -> Summary:
+            return Summary(_packets([np.concatenate(c) for c in zip(*own)], [0]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column(names.index(STRETCH))[0].as_py() if number is None else number
+            cuts = [0, *(np.flatnonzero(key_changes(batch, at).to_numpy(zero_copy_only=False)) + 1).tolist()] if batch.num_rows > 1 else [0]
+            columns = _numpy(batch, names)
+            if last is not None and key_at(batch, at, 0) != last:
+                cuts = [0, *cuts]  # the tuple before ends with its batch
+            for i, cut in enumerate(cuts):
+                if i or last is None:
+                    if i and head is None:
+                        head = (last, summary())
+                    own = [] if i else own
+                    last = key_at(batch, at, cut)
+                stop = cuts[i + 1] if i + 1 < len(cuts) else batch.num_rows
+                if stop > cut:
+                    own.append([c[cut:stop] for c in columns])
+        if number is None:
+            return
+        if head is None:
+            rows.append((last, "through", pickle.dumps(summary())))
+        else:
+            rows += [(head[0], "head", pickle.dumps(head[1])), (last, "tail", pickle.dumps(summary().after(None)))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([repr(k) for k, _, _ in rows]), pa.array([number] * len(rows), pa.int32()), pa.array([w for _, w, _ in rows]),
+             pa.array([pa.compress(c, "zstd", asbytes=True) for _, _, c in rows], pa.binary()), pa.array([len(c) for _, _, c in rows], pa.int64())],
+            ["tuple", "stretch", "what", "cell", "size"])
+
+    return run
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ``(tuple, stretch, what, cell, size)`` -> ``(stretch, state)``: what was open where a tuple goes on in a new stretch."""
+    tuple_, state = None, None
+    for batch in batches:
+        for key, number, what, cell, size in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if key != tuple_:
+                tuple_, state = key, None
+            if what != "tail" and state is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pickle.dumps(state)], pa.binary())], ["stretch", "state"])
+            found = pickle.loads(pa.decompress(cell, size, "zstd"))
+            state = found if what == "tail" else found.after(state)
+
+
+def _numbered(names: list[str], before):
+    """Adds to each packet its flow's number, its place, and its gaps within the flow."""
+    at = [names.index(k) for k in ENDS]
+    kept = [i for i, n in enumerate(names) if n != STRETCH]
+
+    def spread(batch: pa.RecordBatch, state: tuple | None, begins: list[int]):
+        p = _packets(_numpy(batch, names), begins)
+        n, jump = p.count, p.nexts()
+        starts = np.zeros(n, bool)
+        heads = p.begins.copy()
+        if state is not None:
+            heads[0] = p.entered(state)
+        heads = heads[heads < p.ends]
+        while len(heads):
+            starts[heads] = True
+            heads = jump[heads][jump[heads] < p.end[heads]]
+        # flows of the batch in order; rows before the first start belong to the open one
+        flow = np.cumsum(starts) - 1
+        first_flow = flow[p.begins] - starts[p.begins] + 1
+        number = flow - first_flow[p.segment]
+        if state is not None:
+            number[p.segment == 0] += state[2] + 1
+        # row of a flow's start, or -1 in the open one; times before a row within its flow, NEVER where there is none
+        start = np.where(flow >= 0, np.flatnonzero(starts)[flow] if starts.any() else -1, -1)
+        carry = state or (NEVER,) * 7
+
+        def before_row(mask: np.ndarray, old: int) -> np.ndarray:
+            rows = np.maximum.accumulate(np.where(mask, np.arange(n), -1))
+            rows = np.concatenate([[-1], rows[:-1]])
+            inside = rows >= np.maximum(start, 0)
+            return np.where(inside & (rows >= 0), p.us[np.maximum(rows, 0)], np.where((start < 0) & ~inside, old, NEVER))
+
+        prev = before_row(np.ones(n, bool), carry[3])
+        there = prev != NEVER
+        pause = there & (p.us - prev > ACTIVITY_US)
+        a, b = before_row(p.from_a, carry[4]), before_row(~p.from_a, carry[5])
+        opened = before_row(starts | pause, carry[6])
+        gap = p.us - prev
+        out = {"flow_no": (number, None), "gap": (np.abs(gap), ~there), "idle": (gap, ~pause),
+               "a_gap": (np.abs(p.us - a), ~p.from_a | (a == NEVER)), "b_gap": (np.abs(p.us - b), p.from_a | (b == NEVER)),
+               "active": (prev - opened, ~(pause & (opened != NEVER) & (prev > opened)))}
+        # what the last tuple's last flow leaves open
+        low = p.begins[-1]
+        row = max(int(start[-1]), -1)
+        own = slice(max(row, low), n)
+        old = state if row < 0 else None
+        bits = [bool(m[own].any()) for m in (p.fin_a, p.fin_b, p.rst)]
+        closing = old[1] if old else 0
+        closing = 3 if closing == 3 or bits[2] else closing | bits[0] | bits[1] << 1
+
+        def time_of(mask: np.ndarray, default: int) -> int:
+            rows = np.flatnonzero(mask[own])
+            return int(p.us[own][rows[-1]]) if len(rows) else default
+
+        left = (old[0] if old else int(p.us[row]), int(closing), int(number[-1]), int(p.us[-1]), time_of(p.from_a, old[4] if old else NEVER),
+                time_of(~p.from_a, old[5] if old else NEVER), time_of(starts | pause, old[6] if old else NEVER))
+        return out, left
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, place = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if place is None:
+                number = batch.column(names.index(STRETCH))[0].as_py()
+                place, cell = number << 40, before.value.get(number)
+                state = pickle.loads(cell) if cell is not None else None
+            elif key_at(batch, at, 0) != last:
+                state = None
+            begins = [0, *(np.flatnonzero(key_changes(batch, at).to_numpy(zero_copy_only=False)) + 1).tolist()] if batch.num_rows > 1 else [0]
+            out, state = spread(batch, state, begins)
+            last = key_at(batch, at, batch.num_rows - 1)
+            added = [pa.array(values.astype(np.int64), mask=none) for values, none in out.values()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in kept), *added, pa.array(np.arange(place, place + batch.num_rows), pa.int64())],
+                names=[*(names[i] for i in kept), *out, "place"])
+            place += batch.num_rows
+
+    return run
 
 
 def assign_flows(packets: DataFrame) -> DataFrame:
-    """every packet with its flow number: adds ``run_no`` and ``flow_no`` (unique within the tuple together)."""
-    ready = with_quiet_runs(with_ends(flow_packets(packets)))
+    """F1: every packet with its flow: adds ``flow_no`` (from 0 in a tuple), ``place`` (ascending along the tuple) and, in microseconds
+    within the flow, the gap to the packet before, from the same end, pauses, and the active time a pause ends.
+
+    Packets are dealt once, by ranges of (tuple, order), so a tuple that never pauses spreads over as many tasks as it has
+    stretches. Where it crosses a border, the flow that is open there comes from chaining the summaries of its stretches.
+    """
     flags = F.when(F.col("protocol") == 6, F.coalesce("tcp_flags", F.lit(0))).otherwise(F.lit(0))
-    ready = ready.withColumn("tcp_flags", flags)
-    return sorted_fold(ready, [*ENDS, "run_no"], ORDER, ["us", "tcp_flags", "from_a"], _flow_state, _flow_step, "flow_no")
+    ready = with_ends(flow_packets(packets)).withColumn("tcp_flags", flags).withColumn("us", F.unix_micros("ts"))
+    ready = dealt(ready.select(*ENDS, *ORDER, "us", "from_a", "tcp_flags", "payload_len", "hdr_len", "tcp_win"), ENDS, ORDER)
+    cells = ready.mapInArrow(_summaries(ready.columns), "tuple string, stretch int, what string, cell binary, size bigint")
+    # one row or two per stretch; a tuple within one stretch needs nothing
+    cells = cells.repartition("tuple").sortWithinPartitions("tuple", "stretch")
+    found = cells.mapInArrow(_chained, "stretch int, state binary").collect()
+    before = packets.sparkSession.sparkContext.broadcast({r.stretch: bytes(r.state) for r in found})
+    times = ("flow_no", "gap", "idle", "a_gap", "b_gap", "active", "place")
+    schema = ", ".join(f"`{n}` {t}" for n, t in ready.dtypes if n != STRETCH) + "".join(f", {c} bigint" for c in times)
+    return ready.mapInArrow(_numbered(ready.columns, before), schema)
 
 
 def assemble_flows(packets: DataFrame, keep_single: bool = False) -> DataFrame:
@@ -101,25 +352,10 @@ def assemble_flows(packets: DataFrame, keep_single: bool = False) -> DataFrame:
     Both ends' statistics are aggregated under their neutral names; once a flow's forward end is known they
     become forward and backward.
     """
-    flow = [*ENDS, "run_no", "flow_no"]
+    flow = [*ENDS, "flow_no"]
     rows = assign_flows(packets)
-    inside = Window.partitionBy(*flow).orderBy(*ORDER)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    us = F.col("us")
-    rows = rows.withColumn("prev_us", F.lag("us").over(inside))
-    pause = us - F.col("prev_us") > ACTIVITY_US
-    rows = rows.withColumns({
-        "gap": F.abs(us - F.col("prev_us")),
-        "idle": F.when(pause, us - F.col("prev_us")),
-        "a_gap": F.when(F.col("from_a"), F.abs(us - F.last(F.when(F.col("from_a"), us), ignorenulls=True).over(before))),
-        "b_gap": F.when(~F.col("from_a"), F.abs(us - F.last(F.when(~F.col("from_a"), us), ignorenulls=True).over(before))),
-        # an active period opens at the first packet and after every pause
-        "opened": F.when(F.col("prev_us").isNull() | pause, us)})
-    opened = F.last("opened", ignorenulls=True).over(before)
-    rows = rows.withColumn("active", F.when(pause & (F.col("prev_us") > opened), F.col("prev_us") - opened))
-
     tcp = F.col("protocol") == 6
-    order = F.struct(*ORDER)
+    order = F.col("place")
     pay = F.col("payload_len")
     aggs: list[Column] = [
         F.min_by("us", order).alias("first_us"), F.max_by("us", order).alias("last_us"),
@@ -146,7 +382,7 @@ def assemble_flows(packets: DataFrame, keep_single: bool = False) -> DataFrame:
 
     # a flow opened by a SYN, or the tuple's first, runs the way its first packet does; any other keeps the
     # direction of the tuple's flow before it. One row per flow here.
-    order_flows = Window.partitionBy(*ENDS).orderBy("run_no", "flow_no")
+    order_flows = Window.partitionBy(*ENDS).orderBy("flow_no")
     own = F.when(F.col("opens_with_syn") | F.lag("pkts").over(order_flows).isNull(), F.col("first_from_a"))
     flows = flows.withColumn("own", own).withColumn(
         "forward_a", F.last("own", ignorenulls=True).over(order_flows.rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import bin_of, zero_if_null
 from tidewatch.operators.flows import ACK, ORDER, RST, SYN, has_flag
-from tidewatch.operators.folds import sorted_fold
 from tidewatch.operators.grid import Grid, _div
 from tidewatch.operators.state import BEACON_PIECES
+from tidewatch.operators.stretches import speculate
 from tidewatch.schema import HAS_PCAP, PAYLOAD_BINS, PCAP_FEATURES
 
 DUPLICATE_FRAMES = 64
@@ -20,7 +20,8 @@ DUPLICATE_FRAMES = 64
 def drop_capture_duplicates(packets: DataFrame, frames: int = DUPLICATE_FRAMES) -> DataFrame:
     """Drop a packet whose bytes equal those of one of the last ``frames`` packets kept of its capture.
 
-    What is kept depends on what was kept before, so a capture is folded in frame order (state: ``frames`` digests).
+    What is kept depends on what was kept before, but only on the last ``frames`` digests: stretches of a capture are walked at
+    once, from no digests at first, and again only where the digests the stretch before ends with make a difference.
     Skipped frames carry no digest; they stay and do not count.
     """
     def step(recent: deque, digest) -> tuple[deque, int]:
@@ -31,7 +32,7 @@ def drop_capture_duplicates(packets: DataFrame, frames: int = DUPLICATE_FRAMES)
         recent.append(digest)
         return recent, 0
 
-    folded = sorted_fold(packets, ["split", "capture"], ["frame_no", "ts"], ["ip_digest"], lambda: deque(maxlen=frames), step, "_again")
+    folded = speculate(packets, ["split", "capture"], ["frame_no", "ts"], ["ip_digest"], lambda: deque(maxlen=frames), step, "_again")
     return folded.where(F.col("_again") == 0).drop("_again")
 
 
@@ -46,10 +47,6 @@ def capture_manifest(packets: DataFrame, kept: DataFrame) -> DataFrame:
         (F.col("read") - F.coalesce("packets", F.lit(0))).alias("duplicates_dropped"), "first_packet", "last_packet")
 
 
-def _seq_start():
-    return None
-
-
 def _seq_step(furthest, seq: int, payload: int):
     end = (seq + payload) & 0xFFFFFFFF
     if furthest is not None and ((furthest - end) & 0xFFFFFFFF) < 0x80000000:
@@ -59,11 +56,15 @@ def _seq_step(furthest, seq: int, payload: int):
 
 def with_retransmissions(packets: DataFrame) -> DataFrame:
     """adds ``retrans`` (0/1): a TCP data segment that ends at or before the furthest end already seen in
-    its direction, modulo 2^32. Only TCP data segments are shuffled into the fold."""
+    its direction, modulo 2^32.
+
+    Stretches of a direction are walked at once. The furthest end a stretch reaches is its own wherever the sequence
+    numbers have moved on, whatever came before, so two walks settle it; only TCP data segments are shuffled.
+    """
     data = (F.col("protocol") == 6) & (F.col("payload_len") > 0) & (F.col("frag_off") == 0)
     rest = packets.where(~data).withColumn("retrans", F.lit(0).cast("long"))
     keys = ["split", "src_ip", "dst_ip", "src_port", "dst_port"]
-    folded = sorted_fold(packets.where(data), keys, ORDER, ["seq", "payload_len"], _seq_start, _seq_step, "retrans")
+    folded = speculate(packets.where(data), keys, ORDER, ["seq", "payload_len"], lambda: None, _seq_step, "retrans")
     return folded.unionByName(rest)
 
 
