@@ -85,9 +85,7 @@ _CI, _CD = "tp fp fn tn positives n", "precision recall f1 fpr alarm_rate"
 def threshold_policies(spark, sf):
     """Six alert policies side by side, each scored by the confusion metrics."""
     s = scored(spark, sf).select("split", "w", "score", "y")
-    folds = s.select("split").distinct().withColumnRenamed("split", "held")
-    training = s.join(folds, F.col("held") != F.col("split")).select(F.col("held").alias("split"), "score")
-    return metrics.confusion(alerts.threshold_policies(s, training), ("policy", "split"))
+    return metrics.confusion(alerts.threshold_policies(s, hold_out=True), ("policy", "split"))
 
 
 @query("confusion", table(q(f"{_RATIO} (select split, {_CONF} from (select *, alarm as a from al) group by split)"), s="split", i=_CI, d=_CD))

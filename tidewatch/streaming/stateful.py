@@ -7,7 +7,6 @@ time to live. Where the batch operator is exact over all history, the processor
 from __future__ import annotations
 
 import sys
-from bisect import insort
 from typing import Any, Iterator
 
 import numpy as np
@@ -17,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch.operators import ordered
 from tidewatch.operators.flows import ACK, ENDS, FIN, RST, SYN, TIMEOUT_US, flow_packets, with_ends
+from tidewatch.operators.ordered import Counted, packed, unpacked
 from tidewatch.schema import BASELINE_MIN, BASELINE_WINDOWS, TREND_BASES, Z_CLIP
 
 # The process that sets a stream's processors up does not see files added to the application, so processors
 # travel by value instead of by import.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(ordered)
 
 
 def _us(values: pd.Series) -> np.ndarray:
@@ -109,24 +111,33 @@ def live_flows(packets: DataFrame, delay: str = "60 seconds") -> DataFrame:
 # --- X5: causal threshold ---------------------------------------------------------------------------------
 
 class CausalThreshold(StatefulProcessor):
-    """Every past score of a split, kept sorted, exactly as the batch operator sees it."""
+    """Every past score of a split in counted blocks, exactly as the batch operator sees it.
+
+    A batch reads the index (two numbers per block of up to 512 scores) and the blocks it inserts into or takes the
+    quantile from, and writes back what it changed.
+    """
 
     def __init__(self, quantile: float, warmup: int) -> None:
         self.quantile, self.warmup = quantile, warmup
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.past = handle.getListState("past", "score double")
+        self.index = handle.getValueState("index", "lows binary, counts binary, ids binary")
+        self.blocks = handle.getMapState("blocks", "id bigint", "cell binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         table = pd.concat(list(rows)).sort_values("w")
-        past = sorted(r[0] for r in self.past.get())
-        out, new = [], []
+        index = None
+        if self.index.exists():
+            lows, counts, ids = (unpacked(bytes(c)) for c in self.index.get())
+            index = (lows, [int(c) for c in counts], [int(i) for i in ids])
+        past = Counted(index, lambda number: unpacked(bytes(self.blocks.getValue((number,))[0])))
+        out = []
         for score in table["score"]:
-            limit = float(np.quantile(past, self.quantile)) if len(past) >= self.warmup else None
-            out.append(limit)
-            insort(past, float(score))
-            new.append((float(score),))
-        self.past.appendList(new)
+            out.append(past.quantile(self.quantile) if past.size >= self.warmup else None)
+            past.insert(float(score))
+        for number in past.changed:
+            self.blocks.updateValue((number,), (packed(past.blocks[number]),))
+        self.index.update((packed(past.lows), packed([float(c) for c in past.counts]), packed([float(i) for i in past.ids])))
         limits = pd.Series(out, dtype="float64", index=table.index)
         yield pd.DataFrame({"split": key[0], "w": table["w"], "ts": table["ts"], "score": table["score"], "threshold": limits,
                             "alarm": (table["score"] >= limits)})
