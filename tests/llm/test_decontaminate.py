@@ -1,6 +1,7 @@
 import random
 
 from tests.llm.conftest import ODD
+from tidewatch.llm import decontaminate as dc
 from tidewatch.llm.decontaminate import best_match, brute_force, leaks, normal, pieces, without_leaks
 
 
@@ -54,3 +55,33 @@ def test_odd_rows_and_empty_tables(spark, make_docs):
     assert kept.columns == docs.columns and kept.count() == len(ODD) - 1
     assert without_leaks(docs, items.limit(0)).count() == len(ODD)
     assert leaks(make_docs([]), items).count() == 0
+
+
+def test_a_match_is_returned_where_it_stands_whatever_was_inserted_or_left_out():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefgh ijklm") for _ in range(130)).strip()
+    item = " ".join(item.split())
+    for _ in range(200):
+        edited = list(item)
+        for _ in range(rng.randint(0, len(item) // dc.CHARS_PER_EDIT)):
+            at, kind = rng.randrange(2, len(edited) - 2), rng.choice(["in", "out", "other"])
+            edited[at:at + (kind != "in")] = [] if kind == "out" else ["Z".lower()]
+        before, after = "qqqq " * rng.randint(0, 3), " wwww" * rng.randint(0, 3)
+        body = "".join(edited)
+        text = before + body + after
+        found = dc.Matcher([(7, item)]).leaks(text)
+        assert len(found) == 1
+        start, end = found[0]["start"], found[0]["end"]
+        # the place is that of a part at the distance reported, and the planted one up to its last edits
+        assert abs(start - len(before)) <= found[0]["edits"] and abs(end - len(before) - len(body)) <= found[0]["edits"]
+        best = dc.best_match(item, {c: sum(1 << j for j, x in enumerate(item) if x == c) for c in set(item)}, text[start:end])
+        assert best[0] == found[0]["edits"] and dc.matched(item, text[:end], found[0]["edits"]) == end - start
+
+
+def test_two_slabs_of_equal_size_do_not_meet_each_others_items(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(dc, "SLAB_CHARS", 60)
+    items = [(1, "the first test item is about rivers and seas"), (1, "the other test item tells of hills and woods"), (2, "a third one has to do with cities and towns")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([(i, f"so {t} it is") for i, (_, t) in enumerate(items)])
+    got = sorted((r.doc_id, r.item_id, r.edits, r.start) for r in dc.leaks(docs, benchmark).collect())
+    assert got == [(0, 1, 0, 3), (1, 1, 0, 3), (2, 2, 0, 3)]

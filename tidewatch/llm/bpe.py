@@ -19,7 +19,6 @@ data, bounds its size); caches of states and pieces are dropped when full, which
 from __future__ import annotations
 
 import base64
-import gc
 from array import array
 from collections.abc import Callable
 
@@ -29,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import held_by, without_collector
+
 NEVER = 1 << 60
 NODE_BITS, START = 24, 1 << 30
 NODE_MASK = (1 << NODE_BITS) - 1
@@ -190,7 +191,13 @@ class Transducer:
         if len(self.states) > STATES_MOST:
             self._forget()
         state, path, moves, done = 0, [], self.moves, []
-        for byte in piece:
+        known, short = moves.get, len(piece) <= LOOKAHEAD
+        if short:  # too short to settle anything on the way
+            for byte in piece:
+                move = known(state << 8 | byte) or self._move(state, byte)
+                path.append(move)
+                state = move[0]
+        for byte in () if short else piece:
             move = moves.get(state << 8 | byte) or self._move(state, byte)
             path.append(move)
             state = move[0]
@@ -281,14 +288,12 @@ class StreamDecoder:
         return rest
 
 
-_kept: dict[str, tuple[str, object]] = {}
-
-
 def _once(kind: str, key: str, make: Callable[[], object]):
     """One object of each kind per worker process, made anew for another key."""
-    if kind not in _kept or _kept[kind][0] != key:
-        _kept[kind] = key, make()
-    return _kept[kind][1]
+    kept = held_by("bpe")
+    if kind not in kept or kept[kind][0] != key:
+        kept[kind] = key, make()
+    return kept[kind][1]
 
 
 def codec(spark: SparkSession, rank_file: str, pattern: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
@@ -302,9 +307,8 @@ def codec(spark: SparkSession, rank_file: str, pattern: str) -> tuple[Callable[[
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _once("encoder", key, lambda: Encoder(ranks.value, pattern))
-        # the caches hold millions of objects and no cycles; the collector would walk them again and again
-        gc.disable()
-        rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
+        with without_collector():
+            rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
         ends = np.cumsum([0, *map(len, rows)]) // 4
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 

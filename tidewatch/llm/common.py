@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +42,31 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+_held: dict[str, dict] = {}
+
+
+def held_by(owner: str) -> dict:
+    """What ``owner``'s code keeps in this worker process from batch to batch.
+
+    What other owners kept is dropped: a worker that serves one stage after another holds the caches of one.
+    """
+    for other in [o for o in _held if o != owner]:
+        del _held[other]
+    return _held.setdefault(owner, {})
+
+
+@contextmanager
+def without_collector():
+    """Many objects without cycles are made inside; the collector would walk all that are kept again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -11,6 +11,7 @@ which bounds what is broadcast; a larger test set takes another pass per slab.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import free_name
+from tidewatch.llm.common import free_name, held_by
 
 CHARS_PER_EDIT = 20
 SLAB_CHARS = 4_000_000
+NEVER = 1 << 30
 LEAK = "array<struct<item_id:bigint,edits:int,start:int,end:int>>"
 
 
@@ -61,11 +63,24 @@ def best_match(item: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     return best, end
 
 
+def matched(item: str, text: str, edits: int) -> int:
+    """How many of the last characters of ``text`` the item matches with ``edits`` edits; of several, what is nearest its length.
+
+    The distances to the text's suffixes, from the end, in a band of ``edits`` on either side.
+    """
+    n, back = len(item), text[max(0, len(text) - len(item) - edits):][::-1]
+    row = {j: j for j in range(min(edits, len(back)) + 1)}
+    for i, c in enumerate(reversed(item), 1):
+        new: dict[int, int] = {}
+        for j in range(max(0, i - edits), min(len(back), i + edits) + 1):
+            new[j] = min(row.get(j, NEVER) + 1, new.get(j - 1, NEVER) + 1, row.get(j - 1, NEVER) + (j == 0 or back[j - 1] != c))
+        row = new
+    return min((j for j, d in row.items() if d <= edits), key=lambda j: (abs(j - n), j), default=min(n, len(text)))
+
+
 class Matcher:
     """The automaton over the pieces of all items of a slab, built once per worker process."""
 
-    kept: dict[str, Matcher] = {}
-
     def __init__(self, items: list[tuple[int, str]]):
         self.items = items
         self.budget = [len(t) // CHARS_PER_EDIT for _, t in items]
@@ -81,10 +96,10 @@ class Matcher:
 
     @classmethod
     def of(cls, key: str, items: list[tuple[int, str]]) -> Matcher:
-        if key not in cls.kept:
-            cls.kept.clear()
-            cls.kept[key] = cls(items)
-        return cls.kept[key]
+        kept = held_by("decontaminate")
+        if key not in kept:
+            kept[key] = cls(items)
+        return kept[key]
 
     def leaks(self, text: str) -> list[dict]:
         """The best match of every item that occurs within its budget."""
@@ -96,11 +111,8 @@ class Matcher:
         for i, diagonals in begins.items():
             k, (item_id, item) = self.budget[i], self.items[i]
             best = (k + 1, 0)
-            reached = None
             for d in sorted(diagonals):
-                # a true match begins and ends within k of its diagonal; windows that are covered already are skipped
-                if reached is not None and d <= reached:
-                    continue
+                # a true match begins and ends within k of its diagonal
                 low = max(0, d - k)
                 if k == 0:
                     edits, end = 0, len(item)
@@ -114,9 +126,8 @@ class Matcher:
                 best = min(best, (edits, low + end))
                 if best[0] == 0:
                     break
-                reached = d
             if best[0] <= k:
-                found.append({"item_id": item_id, "edits": best[0], "start": max(0, best[1] - len(item)), "end": best[1]})
+                found.append({"item_id": item_id, "edits": best[0], "start": best[1] - matched(item, text[:best[1]], best[0]), "end": best[1]})
         return sorted(found, key=lambda x: x["item_id"])
 
 
@@ -151,8 +162,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     parts = []
     for slab in _slabs(benchmark):
-        shared, key = sc.broadcast(slab), f"{sc.applicationId}/{id(slab)}/{len(slab)}/{slab[0][0]}"
-
+        shared, key = sc.broadcast(slab), uuid.uuid4().hex
         parts.append(F.pandas_udf(_finder(shared, key), LEAK)(F.col("text").cast("string")))
     empty = F.array().cast(LEAK)
     return docs.withColumn(name, reduce(lambda a, b: F.concat(a, b), parts) if parts else empty)

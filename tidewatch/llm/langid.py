@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fold_of, free_name, pieces, text_buffers
+from tidewatch.llm.common import fold_of, free_name, held_by, pieces, text_buffers
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
@@ -66,6 +66,7 @@ def _letters(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held_by("langid")
     for batch in batches:
         where, number = [], []
         for body, offsets in _letters(batch.column(1)):
@@ -175,6 +176,7 @@ def with_language(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pd.Series) -> pd.DataFrame:
+        held_by("langid")
         m = shared.value
         best, score = classify(pa.array(texts, pa.large_string(), from_pandas=True), m)
         lettered = np.array([_has_letter(t) for t in texts], bool)

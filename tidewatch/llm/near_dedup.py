@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bitmap import Bitmap, bitmap_of
-from tidewatch.llm.common import mix64, pieces, text_buffers, windows_of, words_of
+from tidewatch.llm.common import held_by, mix64, pieces, text_buffers, windows_of, words_of
 from tidewatch.llm.components import components
 from tidewatch.session import cut_lineage
 
@@ -60,6 +60,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held_by("near_dedup")
     for batch in batches:
         n, key1, key2, signatures = [], [], [], []
         for s in shingle_sets(batch.column(1)):
@@ -78,6 +79,7 @@ def _bands(only: Bitmap | None):
     seeds = mix64(np.arange(101, 101 + BANDS, dtype=np.uint64))
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by("near_dedup")
         for batch in batches:
             if batch.num_rows:
                 all_minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
@@ -111,6 +113,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(only: Bitmap):
     """``(id, shingles)`` of the texts whose id may be in the bitmap."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by("near_dedup")
         for batch in batches:
             batch = batch.filter(pa.array(only.may_hold(batch.column(0).to_numpy(zero_copy_only=False))))
             for a in range(0, batch.num_rows, 64):

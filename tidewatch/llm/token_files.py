@@ -12,7 +12,6 @@ At most one count per vocabulary entry reaches the driver.
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 import zlib
@@ -26,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import held_by, without_collector
+
 BLOCK_TOKENS = 1 << 16
 PIECES_MOST = 400_000
 END_ID = 0
@@ -62,8 +63,6 @@ class PieceEncoder:
     into pieces by ``pattern``, and merges inside pieces only, so each distinct piece is given to it once and remembered.
     A text with an added token that takes white space or looks at its neighbours goes to the library whole."""
 
-    kept: dict[tuple, PieceEncoder] = {}
-
     def __init__(self, path: str, pattern: str, special_as_text: bool):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,11 +75,11 @@ class PieceEncoder:
 
     @classmethod
     def of(cls, path: str, pattern: str, special_as_text: bool) -> PieceEncoder:
-        key = (path, pattern, special_as_text)
-        if key not in cls.kept:
+        key, kept = (path, pattern, special_as_text), held_by("token_files")
+        if key not in kept:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            cls.kept[key] = cls(*key)
-        return cls.kept[key]
+            kept[key] = cls(*key)
+        return kept[key]
 
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, an added token being one; nothing for a text that the library must see whole."""
@@ -112,13 +111,13 @@ class PieceEncoder:
 def _encoded(path: str, pattern: str, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = PieceEncoder.of(path, pattern, special_as_text), zstandard.ZstdCompressor(level=1)
-        # the remembered pieces are many objects without cycles; the collector would walk them again and again
-        gc.disable()
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 n, cells = [], []
-                for ids in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
+                with without_collector():
+                    found = list(encoder.encode([t or "" for t in part.column(1).to_pylist()]))
+                for ids in found:
                     ids = np.append(ids, np.uint32(END_ID))
                     n.append(len(ids))
                     small = ids.astype(np.uint16) if int(ids.max()) < 1 << 16 else ids
