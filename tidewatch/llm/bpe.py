@@ -33,12 +33,14 @@ from tidewatch.llm.common import held_by, without_collector
 NEVER = 1 << 60
 NODE_BITS, START = 24, 1 << 30
 NODE_MASK = (1 << NODE_BITS) - 1
-STATES_MOST = 200_000
+STATES_MOST = 400_000
 PIECES_MOST = 350_000
 #: bytes after which settled tokens are let out; open ones are bounded by the longest token
 LOOKAHEAD = 64
 PAIRS_MOST = 1_000_000
 CHUNK = 4096
+#: pieces that go through the transducer in step, and characters whose pieces are looked up together
+STEP, TEXT = 16_384, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,6 +75,11 @@ class Transducer:
         self.number: dict[tuple[int, ...], int] = {self.states[0]: 0}
         self.moves: dict[int, tuple] = {}
         self.ends: dict[int, tuple[int, int]] = {}
+        # the moves once more as columns, for many pieces at a time; by key in order as far as they have been sorted
+        self.index: dict[int, int] = {}
+        self.columns = np.zeros((5, 1024), np.int32)  # next state, begun, source, closed, where its sources lie
+        self.sources, self.used = np.zeros(4096, np.int32), 0
+        self.sorted = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; ``(-1, -1)`` for a byte, None where merging never reaches it."""
@@ -161,8 +168,85 @@ class Transducer:
             at = self.number[new] = len(self.states)
             self.states.append(new)
         move = self.moves[state << 8 | byte] = (at, sources, begun, source, closed)
+        place = self.index[state << 8 | byte] = len(self.index)
+        if place == self.columns.shape[1]:
+            self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)], axis=1)
+        if self.used + len(sources) >= len(self.sources):
+            self.sources = np.concatenate([self.sources, np.zeros(len(self.sources) + len(sources), np.int32)])
+        self.columns[:, place] = (at, begun, source, closed, self.used)
+        self.sources[self.used:self.used + len(sources)] = sources
+        self.used += len(sources)
         return move
 
+    def _moves_of(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the moves with these keys (state * 256 + byte); those not met before are made."""
+        if len(self.index) - len(self.sorted[0]) > max(2048, len(self.sorted[0]) // 16) or not len(self.sorted[0]):
+            if not self.index:
+                self._move(int(keys[0]) >> 8, int(keys[0]) & 255)
+            known = np.fromiter(self.index.keys(), np.int64, len(self.index))
+            order = np.argsort(known)
+            self.sorted = known[order], np.fromiter(self.index.values(), np.int32, len(self.index))[order]
+        known, numbers = self.sorted
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        out = numbers[at]
+        new = np.flatnonzero(known[at] != keys)
+        if len(new):
+            missing, where = np.unique(keys[new], return_inverse=True)
+            for key in missing.tolist():
+                if key not in self.index:
+                    self._move(key >> 8, key & 255)
+            out[new] = np.array([self.index[key] for key in missing.tolist()], np.int32)[where]
+        return out
+
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit integers; short pieces go through the transducer in step."""
+        out = [b""] * len(pieces)
+        short = []
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(piece) > LOOKAHEAD:
+                out[i] = array("i", self.encode(piece)).tobytes()
+            elif piece:
+                short.append(i)
+        short.sort(key=lambda i: -len(pieces[i]))
+        for a in range(0, len(short), STEP):
+            part = short[a:a + STEP]
+            for i, ids in zip(part, self._in_step([pieces[i] for i in part])):
+                out[i] = ids
+        return out
+
+    def _in_step(self, pieces: list[bytes]) -> list[bytes]:
+        """``encode`` of pieces that grow no longer, a byte of all of them at a time."""
+        if len(self.states) > STATES_MOST:
+            self._forget()
+        n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(lengths[0])
+        body = np.zeros((n, width), np.int64)
+        body[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        live = [int(np.searchsorted(-lengths, -j, "left")) for j in range(width)]  # pieces longer than j
+        state, taken = np.zeros(n, np.int64), []
+        for j in range(width):
+            moves = self._moves_of(state[:live[j]] << 8 | body[:live[j], j])
+            state[:live[j]] = self.columns[0][moves]
+            taken.append(moves)
+        (_, begun, source, closed, first), sources = self.columns, self.sources
+        lasts, where = np.unique(state, return_inverse=True)
+        ends = np.array([self.ends.get(s) or self._end(s) for s in lasts.tolist()], np.int64)[where]
+        at, tokens = ends[:, 0].copy(), np.full((n, width + 1), -1, np.int32)
+        tokens[np.arange(n), lengths] = ends[:, 1]
+        for j in range(width - 1, -1, -1):
+            moves, own = taken[j], at[:live[j]]
+            closes = own == begun[moves]
+            rows = np.flatnonzero(closes)
+            tokens[rows, j] = closed[moves[rows]]
+            at[:live[j]] = np.where(closes, source[moves], sources[first[moves] + np.where(closes, 0, own)])
+        there = tokens >= 0
+        cut = np.concatenate([[0], np.cumsum(there.sum(axis=1))]) * 4
+        ids = tokens[there].astype("<i4").tobytes()
+        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+
     def _end(self, state: int) -> tuple[int, int]:
         """The hypothesis that ends the text here, and its last token."""
         for i, hypothesis in enumerate(self.states[state]):
@@ -191,13 +275,7 @@ class Transducer:
         if len(self.states) > STATES_MOST:
             self._forget()
         state, path, moves, done = 0, [], self.moves, []
-        known, short = moves.get, len(piece) <= LOOKAHEAD
-        if short:  # too short to settle anything on the way
-            for byte in piece:
-                move = known(state << 8 | byte) or self._move(state, byte)
-                path.append(move)
-                state = move[0]
-        for byte in () if short else piece:
+        for byte in piece:
             move = moves.get(state << 8 | byte) or self._move(state, byte)
             path.append(move)
             state = move[0]
@@ -229,19 +307,37 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text; the pieces that are new in some texts go through the transducer together."""
+        out, start = [], 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= TEXT):
+                size += len(texts[stop] or "")
+                stop += 1
+            out += self._encoded(texts[start:stop])
+            start = stop
+        return out
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) >= PIECES_MOST:
             self.known, self.older = {}, self.known
-        known, found = self.known, self.find(text)
-        tokens = list(map(known.get, found))
-        if None in tokens:
-            older, encode = self.older, self.fst.encode
-            for i, t in enumerate(tokens):
-                if t is None:
-                    piece = found[i]
-                    t = tokens[i] = known.get(piece) or older.get(piece) or array("i", encode(piece.encode())).tobytes()
-                    if len(piece) <= 64:
-                        known[piece] = t
-        return b"".join(tokens)
+        known, older = self.known, self.older
+        pieces = [self.find(t) if t else [] for t in texts]
+        tokens = [list(map(known.get, found)) for found in pieces]
+        missed = {p for found, own in zip(pieces, tokens) if None in own for p, t in zip(found, own) if t is None}
+        if not missed:
+            return [b"".join(own) for own in tokens]
+        extra = {}
+        for p in missed:
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+        new = [p for p in missed if p not in known]
+        for p, ids in zip(new, self.fst.encode_many([p.encode() for p in new])):
+            (known if len(p) <= 64 else extra)[p] = ids
+        return [b"".join(own) if None not in own else b"".join([known[p] if p in known else extra[p] for p in found]) for found, own in zip(pieces, tokens)]
 
 
 #: UTF-8 machine: state = bytes still missing, with the four states whose next byte is restricted
@@ -308,7 +404,7 @@ def codec(spark: SparkSession, rank_file: str, pattern: str) -> tuple[Callable[[
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _once("encoder", key, lambda: Encoder(ranks.value, pattern))
         with without_collector():
-            rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
+            rows = encoder.encode_batch(texts.to_pylist())
         ends = np.cumsum([0, *map(len, rows)]) // 4
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 

@@ -94,18 +94,19 @@ class PieceEncoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         pieces = [self.pieces(t) for t in texts]
-        missed = {p for found in pieces for p in found or () if p not in known}
+        tokens = [list(map(known.get, found or ())) for found in pieces]
+        missed = {p for found, own in zip(pieces, tokens) if None in own for p, t in zip(found, own) if t is None}
         known.update((p, older[p]) for p in missed if p in older)
         new = [p for p in missed if p not in known]
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[piece] = array("I", e.ids).tobytes()
-        for text, found in zip(texts, pieces):
+        for text, found, own in zip(texts, pieces, tokens):
             if found is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                yield np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
+                yield np.frombuffer(b"".join(own if None not in own else map(known.__getitem__, found)), np.uint32)
 
 
 def _encoded(path: str, pattern: str, special_as_text: bool):
