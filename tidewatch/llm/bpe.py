@@ -73,9 +73,8 @@ class Transducer:
     def _forget(self) -> None:
         self.states: list[tuple[int, ...]] = [(START << NODE_BITS,)]
         self.number: dict[tuple[int, ...], int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple] = {}
         self.ends: dict[int, tuple[int, int]] = {}
-        # the moves once more as columns, for many pieces at a time; by key in order as far as they have been sorted
+        # moves as columns; their numbers by key (state * 256 + byte), and by key in order as far as they have been sorted
         self.index: dict[int, int] = {}
         self.columns = np.zeros((5, 1024), np.int32)  # next state, begun, source, closed, where its sources lie
         self.sources, self.used = np.zeros(4096, np.int32), 0
@@ -147,8 +146,9 @@ class Transducer:
         last = hypothesis >> NODE_BITS
         return token if last == START or self.apart(last, token) else -1
 
-    def _move(self, state: int, byte: int) -> tuple:
-        """``(next state, source of each hypothesis that goes on, index of the one that begins, its source, closed token)``."""
+    def _move(self, state: int, byte: int) -> int:
+        """The number of a new move: next state, source of each hypothesis that goes on, index of the one that begins, its
+        source, closed token."""
         after, sources, begun, source, closed = [], [], -1, -1, -1
         step_of = self.step_of
         for i, hypothesis in enumerate(self.states[state]):
@@ -167,7 +167,6 @@ class Transducer:
         if at is None:
             at = self.number[new] = len(self.states)
             self.states.append(new)
-        move = self.moves[state << 8 | byte] = (at, sources, begun, source, closed)
         place = self.index[state << 8 | byte] = len(self.index)
         if place == self.columns.shape[1]:
             self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)], axis=1)
@@ -176,7 +175,7 @@ class Transducer:
         self.columns[:, place] = (at, begun, source, closed, self.used)
         self.sources[self.used:self.used + len(sources)] = sources
         self.used += len(sources)
-        return move
+        return place
 
     def _moves_of(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of the moves with these keys (state * 256 + byte); those not met before are made."""
@@ -256,15 +255,15 @@ class Transducer:
                 return i, token
         raise ValueError("no token sequence fits; the vocabulary lacks single bytes")
 
-    @staticmethod
-    def _closed(path: list[tuple], at: int, out: list[int]) -> None:
-        """The tokens closed along ``path`` by hypothesis ``at`` of its last state, in reverse."""
-        for _, sources, begun, source, token in reversed(path):
+    def _closed(self, path: list[int], at: int, out: list[int]) -> None:
+        """The tokens closed along the moves ``path`` by hypothesis ``at`` of its last state, in reverse."""
+        for place in reversed(path):
+            _, begun, source, token, first = self.columns[:, place].tolist()
             if at == begun:
                 out.append(token)
                 at = source
             else:
-                at = sources[at]
+                at = int(self.sources[first + at])
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
@@ -274,11 +273,13 @@ class Transducer:
             return ()
         if len(self.states) > STATES_MOST:
             self._forget()
-        state, path, moves, done = 0, [], self.moves, []
+        state, path, index, done = 0, [], self.index, []
         for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            path.append(move)
-            state = move[0]
+            place = index.get(state << 8 | byte)
+            if place is None:
+                place = self._move(state, byte)
+            path.append(place)
+            state = int(self.columns[0, place])
             if len(path) > LOOKAHEAD and len(self.states[state]) == 1:
                 # one hypothesis is left: everything behind it is settled and leaves
                 ready: list[int] = []
@@ -288,7 +289,7 @@ class Transducer:
                 if len(self.states) > 2 * STATES_MOST:  # one very long piece
                     now = self.states[state]
                     self._forget()
-                    moves, state = self.moves, 1
+                    index, state = self.index, 1
                     self.states.append(now)
                     self.number[now] = 1
         at, token = self.ends.get(state) or self._end(state)
