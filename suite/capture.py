@@ -154,6 +154,14 @@ def assemble_flows(spark, sf):
     return assembly.assemble_flows(packets(spark, sf)).select("split", "ts", "src_ip", "dst_ip", *_INTS.split(), *_DBL)
 
 
+#: the same flows by their unordered ends, as they are reported live
+LIVE_FLOW_SQL = _recursive(
+    ", j as (select fp.*, flow_no, dir from fp join fold on fold.tup = fp.tup and fold.rn = fp.rn), "
+    "result as (select any_value(split) as split, any_value(protocol) as protocol, any_value(ip_a) as ip_a, any_value(port_a) as port_a, any_value(ip_b) as ip_b, any_value(port_b) as port_b, "
+    "arg_min(at_us, rn) as first_ts, arg_max(at_us, rn) as last_ts, any_value(dir) as from_a, count(*) as pkts, count(*) filter (where from_a) as a_pkts, count(*) filter (where not from_a) as b_pkts, "
+    "coalesce(sum(payload_len) filter (where from_a), 0) as a_bytes, coalesce(sum(payload_len) filter (where not from_a), 0) as b_bytes from j group by tup, flow_no having count(*) >= 2) "
+    + table("select * from result", s="split ip_a ip_b", i="protocol port_a port_b first_ts last_ts from_a pkts a_pkts b_pkts a_bytes b_bytes"))
+
 _SES = "split, src_ip, dst_ip, src_port, dst_port, protocol"
 
 

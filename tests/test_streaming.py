@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch import WindowSpec
 from tidewatch.operators import alerts, blocks, flows as assembly
 from tidewatch.streaming import live, stateful
+from tidewatch.streaming.replay import Replay
 
 COUNT = iter(range(10**6))
 
@@ -104,7 +105,46 @@ def test_live_trend_equals_batch(spark, replay):
     got = {(r["split"], r["w"]): r for r in replay(states, "w", lambda s: stateful.live_trend(s, ("x",))).collect()}
     for r in blocks.trend_features(states, bases=("x",)).collect():
         live_row = got[r["split"], r["w"]]
-        assert live_row["x_delta"] == pytest.approx(r["x_delta"], abs=1e-9) and live_row["x_zscore"] == pytest.approx(r["x_zscore"], abs=1e-9)
+        for kind in ("delta", "slope_5", "slope_10", "zscore"):
+            assert live_row[f"x_{kind}"] == pytest.approx(r[f"x_{kind}"], abs=1e-9), kind
+
+
+def test_trend_in_one_large_batch(spark, replay):
+    """More rows at once than are worked on together, and window numbers with a hole."""
+    rng = random.Random(6)
+    states = spark.createDataFrame([("a", w, rng.random() * 5) for w in range(1300) if w not in (700, 701)], "split string, w bigint, x double")
+    got = {r["w"]: r for r in replay(states, "w", lambda s: stateful.live_trend(s, ("x",)), files=1).collect()}
+    rows = blocks.trend_features(states, bases=("x",)).collect()
+    assert len(got) == len(rows) == 1298
+    for r in rows:
+        for kind in ("delta", "slope_5", "slope_10", "zscore"):
+            assert got[r["w"]][f"x_{kind}"] == pytest.approx(r[f"x_{kind}"], abs=1e-9), kind
+
+
+def test_replay_reports_what_is_open_at_the_end(spark, tmp_path, flows, packet_rows):
+    def ended(df, operator, name, **closing):
+        df.write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        replayed = Replay(str(tmp_path / f"{name}-run"))
+        return replayed.drain(operator(replayed.source(stream, **closing))).collect()
+
+    minutes = ended(flows.repartition(1), live.live_minute_stages, "minutes", split="", stage=0)
+    want = flows.groupBy("split", F.date_trunc("minute", "ts").alias("minute")).agg(F.count_if(F.col("stage") == 3).alias("c")).collect()
+    assert {(r["split"], r["minute"], r["LATERAL_MOVEMENT"]) for r in minutes} == {tuple(r) for r in want}
+
+    found = ended(packet_rows.repartition(1), stateful.live_flows, "packets", split="", capture="", src_ip="", dst_ip="", src_port=0, dst_port=0,
+                  protocol=17, frame_no=0, frag_off=0, payload_len=0)
+    batch = assembly.assemble_flows(packet_rows).select("ts", "src_ip", F.expr("fwd_pkts + bwd_pkts"), F.expr("fwd_bytes + bwd_bytes")).collect()
+    assert sorted((r["first_ts"], r["ip_a"] if r["from_a"] else r["ip_b"], r["pkts"], r["a_bytes"] + r["b_bytes"]) for r in found) == sorted(tuple(r) for r in batch)
+
+
+def test_replay_of_an_empty_table_is_empty(spark, tmp_path, flows):
+    flows.limit(0).write.parquet(str(tmp_path / "none"))
+    replayed = Replay(str(tmp_path / "run"))
+    stream = replayed.source(spark.readStream.schema(flows.schema).parquet(str(tmp_path / "none")), split="", stage=0)
+    assert replayed.drain(live.live_minute_stages(stream)).count() == 0
+    with pytest.raises(ValueError, match="no columns"):
+        replayed.source(stream, colour=1)
 
 
 def test_first_seen(replay, flows):

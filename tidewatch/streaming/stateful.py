@@ -7,7 +7,7 @@ time to live. Where the batch operator is exact over all history, the processor
 from __future__ import annotations
 
 import sys
-from typing import Any, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidewatch.operators import ordered
 from tidewatch.operators.flows import ACK, ENDS, FIN, RST, SYN, TIMEOUT_US, flow_packets, with_ends
 from tidewatch.operators.ordered import Counted, packed, unpacked
-from tidewatch.schema import BASELINE_MIN, BASELINE_WINDOWS, TREND_BASES, Z_CLIP
+from tidewatch.schema import BASELINE_MIN, BASELINE_WINDOWS, TREND_BASES, TREND_SLOPES, Z_CLIP
 
 # The process that sets a stream's processors up does not see files added to the application, so processors
 # travel by value instead of by import.
@@ -49,7 +49,7 @@ class FlowExpiry(StatefulProcessor):
         self.direction = handle.getValueState("direction", "forward_a boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        table = pd.concat(list(rows)).sort_values(["ts", "frame_no"])
+        table = pd.concat(list(rows)).sort_values(["capture", "frame_no"])
         done: list[tuple] = []
         current = list(self.open.get()) if self.open.exists() else None
         known = self.direction.get()[0] if self.direction.exists() else None
@@ -103,8 +103,11 @@ def _flow_rows(key, flows: list[tuple]) -> pd.DataFrame:
 
 
 def live_flows(packets: DataFrame, delay: str = "60 seconds") -> DataFrame:
-    """Flows as they end. ``from_a`` is the forward end. Disorder up to ``delay`` is tolerated."""
-    rows = with_ends(flow_packets(packets)).withWatermark("ts", delay).select(*ENDS, "ts", "frame_no", "from_a", "tcp_flags", "payload_len")
+    """Flows as they end, packets of a micro-batch in capture order as in the batch form. ``from_a`` is the forward end.
+
+    Disorder up to ``delay`` is tolerated.
+    """
+    rows = with_ends(flow_packets(packets)).withWatermark("ts", delay).select(*ENDS, "ts", "capture", "frame_no", "from_a", "tcp_flags", "payload_len")
     return rows.groupBy(*ENDS).transformWithStateInPandas(FlowExpiry(), outputStructType=FLOW_OUT, outputMode="Append", timeMode="EventTime")
 
 
@@ -153,43 +156,65 @@ def live_threshold(scores: DataFrame, quantile: float = 0.90, warmup: int = 20)
         outputMode="Append", timeMode="None")
 
 
-# --- X6: trailing z-score ---------------------------------------------------------------------------------
+# --- X6: trailing trend -----------------------------------------------------------------------------------
+
+TREND_ROWS = 512  # rows worked on at once; each looks back at BASELINE_WINDOWS rows
+
 
-class TrailingScore(StatefulProcessor):
-    """The last ``BASELINE_WINDOWS`` rows of a split."""
+def _trend(past: np.ndarray, now: np.ndarray) -> dict[str, np.ndarray]:
+    """Delta, slopes and z-score (rows x columns) of the rows ``now`` after the rows ``past``; column 0 of both is w."""
+    missing = np.full((BASELINE_WINDOWS - len(past), now.shape[1]), np.nan)
+    every = np.concatenate([missing, past, now])
+    values = every[:, 1:]
+    behind = np.lib.stride_tricks.sliding_window_view(values, BASELINE_WINDOWS, axis=0)[:len(now)]
+    count = (~np.isnan(behind)).sum(-1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.nansum(behind, -1) / count
+        spread = np.sqrt(np.nansum((behind - mean[..., None]) ** 2, -1) / (count - 1))
+        z = np.clip((now[:, 1:] - mean) / np.maximum(spread, 1e-6), -Z_CLIP, Z_CLIP)
+    out = {"delta": np.nan_to_num(now[:, 1:] - values[BASELINE_WINDOWS - 1:-1])}
+    for span in TREND_SLOPES:
+        first = BASELINE_WINDOWS - span + 1
+        frame = np.lib.stride_tricks.sliding_window_view(every, span, axis=0)[first:first + len(now)]
+        x = frame[:, :1] - frame[:, :1].mean(-1, keepdims=True)
+        out[f"slope_{span}"] = np.nan_to_num((x * frame[:, 1:]).sum(-1) / (x * x).sum(-1))
+    return out | {"zscore": np.where(count >= BASELINE_MIN, z, 0.0)}
+
+
+class TrailingTrend(StatefulProcessor):
+    """The last ``BASELINE_WINDOWS`` rows of a split: enough for the z-score and for every slope."""
 
     def __init__(self, columns: tuple[str, ...]) -> None:
         self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.past = handle.getListState("past", ", ".join(f"{c} double" for c in self.columns))
+        self.past = handle.getListState("past", ", ".join(f"{c} double" for c in ("w", *(f"v{i}" for i in range(len(self.columns))))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         table = pd.concat(list(rows)).sort_values("w")
-        past = [tuple(r) for r in self.past.get()]
-        out: list[dict[str, Any]] = []
-        for _, row in table.iterrows():
-            now = np.array([row[c] for c in self.columns], dtype=float)
-            hist = np.array(past[-BASELINE_WINDOWS:], dtype=float)
-            z = np.zeros(len(now))
-            if len(hist) >= BASELINE_MIN:
-                z = np.clip((now - hist.mean(0)) / np.maximum(hist.std(0, ddof=1), 1e-6), -Z_CLIP, Z_CLIP)
-            delta = now - hist[-1] if len(hist) else np.zeros(len(now))
-            out.append({"split": key[0], "w": row["w"]} | {f"{c}_delta": d for c, d in zip(self.columns, delta)}
-                       | {f"{c}_zscore": v for c, v in zip(self.columns, z)})
-            past.append(tuple(now))
-        self.past.put(past[-BASELINE_WINDOWS:])
-        yield pd.DataFrame(out)
+        new = table[["w", *self.columns]].to_numpy(float)
+        past = np.array([tuple(r) for r in self.past.get()], float).reshape(-1, new.shape[1])
+        for i in range(0, len(new), TREND_ROWS):
+            now = new[i:i + TREND_ROWS]
+            found = _trend(past, now)
+            yield pd.DataFrame({"split": key[0], "w": now[:, 0].astype("int64")} | {
+                f"{c}_{kind}": found[kind][:, j] for kind in found for j, c in enumerate(self.columns)})
+            past = np.concatenate([past, now])[-BASELINE_WINDOWS:]
+        self.past.put([tuple(r) for r in past.tolist()])
 
     def close(self) -> None:
         pass
 
 
 def live_trend(states: DataFrame, columns: tuple[str, ...] = TREND_BASES) -> DataFrame:
-    """Delta and trailing z-score per column, for states arriving in window order per split."""
-    schema = "split string, w bigint, " + ", ".join(f"{c}_delta double" for c in columns) + ", " + ", ".join(f"{c}_zscore double" for c in columns)
+    """The trend features of the batch form (delta, slopes, trailing z-score), for states arriving in window order per split.
+
+    Values are numbers, not null. A split keeps ``BASELINE_WINDOWS`` rows.
+    """
+    kinds = ("delta", *(f"slope_{n}" for n in TREND_SLOPES), "zscore")
+    schema = "split string, w bigint, " + ", ".join(f"{c}_{kind} double" for kind in kinds for c in columns)
     return states.select("split", "w", *(F.col(c).cast("double").alias(c) for c in columns)).groupBy("split").transformWithStateInPandas(
-        TrailingScore(columns), outputStructType=schema, outputMode="Append", timeMode="None")
+        TrailingTrend(columns), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 # --- X7: first-seen sets ----------------------------------------------------------------------------------
