@@ -88,6 +88,32 @@ def test_null_counts_rotations(spark):
     assert row["p_value"] == pytest.approx((1 + sum(c >= row["observed"] for c in counts)) / (1 + shifts))
 
 
+@pytest.mark.parametrize("persistence,confirm", [(1, True), (2, False), (3, True)])
+def test_two_thousand_rotations_equal_the_loop(spark, persistence, confirm):
+    """Repeated onsets count twice, horizons reach over the start, one split has no alarm and one no onset."""
+    rng = random.Random(persistence)
+    k, shifts, series, onsets = 6, 2000, {}, {"a": [3, 30, 30, 52, 79], "b": [10, 40], "c": []}
+    for s, n, p in (("a", 80, 0.4), ("b", 60, 0.0), ("c", 50, 0.5)):
+        series[s] = ([rng.random() < p for _ in range(n)], [rng.random() < 0.75 for _ in range(n)])
+    alarms = spark.createDataFrame([(s, w, 0.0, a, e) for s, (xs, es) in series.items() for w, (a, e) in enumerate(zip(xs, es))],
+                                   "split string, w bigint, score double, alarm boolean, eligible boolean")
+    table = spark.createDataFrame([(s, o) for s, os_ in onsets.items() for o in os_], "split string, onset_w bigint")
+    shift = F.col("min_shift") + F.pmod(F.col("i").cast("bigint") * 31, F.col("n") - 2 * F.col("min_shift"))
+    out = episodes.circular_shift_null(alarms, table, k, persistence, shifts, confirm, shift=shift)
+    assert "array<" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for row in out.collect():
+        alarm, eligible = series[row["split"]]
+        n = len(alarm)
+        count = lambda a: sum(_brute_lead(a, eligible, o, k, persistence, confirm) is not None for o in onsets[row["split"]])
+        if not onsets[row["split"]]:
+            assert (row["n_shifts"], row["observed"], row["p_value"]) == (0, 0, 1.0)
+            continue
+        counts = [count([alarm[(w - (k + (i * 31) % (n - 2 * k))) % n] for w in range(n)]) for i in range(shifts)]
+        assert (row["observed"], row["n_shifts"], row["null_max"]) == (count(alarm), shifts, max(counts))
+        assert row["null_mean"] == pytest.approx(sum(counts) / shifts)
+        assert row["p_value"] == pytest.approx((1 + sum(c >= row["observed"] for c in counts)) / (1 + shifts))
+
+
 def test_null_needs_room(spark):
     alarms = spark.createDataFrame([("d", w, 0.0, True) for w in range(10)], "split string, w bigint, score double, alarm boolean")
     table = spark.createDataFrame([("d", 5)], "split string, onset_w bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.series import along
+from tidewatch.session import cut_lineage
 
 # --- fixed values: lead bins in windows before the onset ------------------------------------------------
 LEAD_BINS = {"0-2min": (1, 4), "2-4min": (5, 8), "4-6min": (9, 12), "6-10min": (13, 20)}
@@ -64,47 +65,61 @@ def hashed_shift(seed: int = 42) -> Column:
     return F.col("min_shift") + F.pmod(F.xxhash64("split", "i", F.lit(seed)), span)
 
 
+def _run_places(alarms: DataFrame, persistence: int) -> DataFrame:
+    """(split, n, w, allowed, gap): per window whether a run beginning there is eligible throughout and inside the series,
+    and how many windows on, around the end if need be, the next run of alarms begins (null without one)."""
+    run = along().rowsBetween(0, persistence - 1)
+    eligible = F.coalesce(F.col("eligible"), F.lit(False)) if "eligible" in alarms.columns else F.lit(True)
+    place = (F.row_number().over(along()) - 1).cast("bigint")
+    rows = alarms.select("split", "w", F.coalesce("alarm", F.lit(False)).cast("int").alias("a"), eligible.cast("int").alias("e")).select(
+        "split", place.alias("w"), "a", F.count("*").over(Window.partitionBy("split")).alias("n"),
+        ((F.min("e").over(run) == 1) & (F.count("*").over(run) == persistence)).alias("allowed"))
+    # a run may lie across the end: the first windows once more behind the last
+    again = rows.where(F.col("w") < persistence - 1).withColumn("w", F.col("w") + F.col("n"))
+    starts = F.when(F.min("a").over(run) == 1, F.col("w"))
+    marked = rows.unionByName(again).withColumn("start", starts).where(F.col("w") < F.col("n"))
+    following = F.min("start").over(along().rowsBetween(0, Window.unboundedFollowing))
+    around = F.min("start").over(Window.partitionBy("split")) + F.col("n")
+    return marked.select("split", "n", "w", "allowed", (F.coalesce(following, around) - F.col("w")).alias("gap"))
+
+
 def circular_shift_null(alarms: DataFrame, onset_table: DataFrame, horizon: int, persistence: int = 2,
                         n_shifts: int = 2000, confirm_before_onset: bool = True, min_shift: int | None = None,
                         shift: Column | None = None) -> DataFrame:
     """How many onsets the same alarm series warns about when rotated at random against them.
 
-    A split's alarms are one short array (one flag per window), its onsets another; every rotation is a row
-    that indexes into them, so rotations spread over tasks and the series is never multiplied by them.
+    An onset's horizon is a few stretches of windows where a run may begin, mostly one. A rotation by r warns about it if
+    the next run from a stretch's first window less r begins within the stretch's length. So a rotation of an onset is one
+    lookup by (split, window), and rows of a few numbers are all that is shuffled; no series travels with a rotation.
+    Windows count from 0 along each split. Without onsets, or a series too short to rotate, the null is empty.
     """
     min_shift = horizon if min_shift is None else min_shift
     shift = hashed_shift() if shift is None else shift
-    has_mask = "eligible" in alarms.columns
-    eligible = F.col("eligible") if has_mask else F.lit(True)
-    series = alarms.groupBy("split").agg(
-        F.sort_array(F.collect_list(F.struct("w", F.col("alarm").alias("a"), eligible.alias("e")))).alias("s"),
-        F.count("*").alias("n"))
-    series = series.select("split", "n", F.transform("s", lambda x: x["a"]).alias("a"),
-                           F.transform("s", lambda x: x["e"]).alias("e"))
-    onset_list = onset_table.groupBy("split").agg(F.collect_list("onset_w").alias("onsets"))
-    base = series.join(onset_list, "split", "left").withColumn("min_shift", F.lit(min_shift))
-
-    last = persistence if confirm_before_onset else 1
-
-    def warned(rotate: Column) -> Column:
-        def hit(t: Column, j: int) -> Column:
-            at = F.pmod(t + j - rotate, F.col("n")).cast("int")
-            return F.when(t + j < F.col("n"), F.get("a", at) & F.get("e", (t + j).cast("int"))).otherwise(F.lit(False))
-
-        def early(onset: Column) -> Column:
-            low, high = F.greatest(onset - horizon, F.lit(0)), onset - last
-            candidates = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-            run = lambda t: _all(hit(t, j) for j in range(persistence))
-            return F.exists(candidates, run)
-
-        return F.size(F.filter(F.coalesce("onsets", F.array().cast("array<bigint>")), early))
-
-    possible = F.col("onsets").isNotNull() & (F.col("n") > 2 * min_shift)
-    numbers = F.when(possible, F.sequence(F.lit(0), F.lit(n_shifts - 1))).otherwise(F.array(F.lit(-1)))
-    observed = base.withColumn("observed", warned(F.lit(0).cast("long")))
-    rolled = (observed.withColumn("i", F.explode(numbers)).repartition("split", "i")
-              .withColumn("shift", shift).withColumn("count", F.when(F.col("i") >= 0, warned(F.col("shift")))))
-    stats = rolled.groupBy("split").agg(
+    places = cut_lineage(_run_places(alarms, persistence))
+    marks = onset_table.groupBy("split", F.col("onset_w").cast("bigint").alias("onset_w")).agg(F.count("*").alias("weight"))
+
+    low, high = F.greatest(F.col("onset_w") - horizon, F.lit(0)), F.col("onset_w") - (persistence if confirm_before_onset else 1)
+    begins = marks.where(low <= high).withColumn("w", F.explode(F.sequence(low, high)))
+    begins = begins.join(places.where("allowed").select("split", "w", "n"), ["split", "w"])
+    island = F.col("w") - F.row_number().over(Window.partitionBy("split", "onset_w").orderBy("w"))
+    stretches = (begins.withColumn("island", island).groupBy("split", "n", "onset_w", "weight", "island")
+                 .agg(F.min("w").alias("low"), F.count("*").alias("width")))
+
+    room = F.col("n") > 2 * F.col("min_shift")
+    numbers = F.explode(F.when(room, F.sequence(F.lit(-1), F.lit(n_shifts - 1))).otherwise(F.array(F.lit(-1)))).alias("i")  # -1: as it is
+    turned = (stretches.withColumn("min_shift", F.lit(min_shift)).select("*", numbers)
+              .withColumn("shift", F.when(F.col("i") >= 0, shift).otherwise(F.lit(0)))
+              .select("split", "i", "onset_w", "weight", "width", F.pmod(F.col("low") - F.col("shift"), F.col("n")).alias("w")))
+    warned = turned.join(places.select("split", "w", "gap"), ["split", "w"]).where(F.col("gap") < F.col("width"))
+    counts = (warned.groupBy("split", "i", "onset_w").agg(F.max("weight").alias("weight"))
+              .groupBy("split", "i").agg(F.sum("weight").alias("count")))
+
+    sizes = places.groupBy("split").agg(F.max("n").alias("n")).join(marks.groupBy("split").agg(F.count("*").alias("onsets")), "split", "left")
+    rotations = sizes.withColumn("min_shift", F.when(F.col("onsets") > 0, F.lit(min_shift))).select("split", numbers)
+    count = F.coalesce("count", F.lit(0))
+    rolled = rotations.join(counts, ["split", "i"], "left").select(
+        "split", F.when(F.col("i") >= 0, count).alias("count"), F.when(F.col("i") < 0, count).alias("as_is"))
+    stats = rolled.withColumn("observed", F.max("as_is").over(Window.partitionBy("split"))).groupBy("split").agg(
         F.max("observed").alias("observed"), F.count("count").alias("n_shifts"),
         F.coalesce(F.avg("count"), F.lit(0.0)).alias("null_mean"),
         F.coalesce(F.floor(F.percentile("count", 0.95)), F.lit(0)).alias("null_p95"),
@@ -113,13 +128,6 @@ def circular_shift_null(alarms: DataFrame, onset_table: DataFrame, horizon: int,
     return stats.withColumn("exceeds_p95", (F.col("n_shifts") > 0) & (F.col("observed") > F.col("null_p95")))
 
 
-def _all(tests) -> Column:
-    out = None
-    for test in tests:
-        out = test if out is None else out & test
-    return out
-
-
 def chi2_tail_even(stat: Column, half_df: Column) -> Column:
     """Survival function of chi-square with an even number of degrees of freedom (a finite sum)."""
     half = stat / 2
