@@ -258,19 +258,21 @@ _M = ("s2_star", "s1_precision", "s1_fpr", "pr_auc")
 
 
 @query("paired_comparison", table(q(" union all ".join(
-    f"select '{m}' as metric, count(*) as seeds, avg(a.{m} - b.{m}) as mean_delta, count(*) filter (where a.{m} - b.{m} > 0) as seeds_up, min(a.{m}) as candidate_min "
-    "from sd a join sd b using (seed) where a.split = 'week1' and b.split = 'week0'" for m in _M)), s="metric", i="seeds seeds_up", d="mean_delta candidate_min"))
+    f"select a.split as candidate, '{m}' as metric, count(*) as seeds, avg(a.{m} - b.{m}) as mean_delta, count(*) filter (where a.{m} - b.{m} > 0) as seeds_up, min(a.{m}) as candidate_min "
+    "from sd a join sd b using (seed) where a.split <> 'week0' and b.split = 'week0' group by a.split" for m in _M)), s="candidate metric", i="seeds seeds_up", d="mean_delta candidate_min"))
 def paired_comparison(spark, sf):
+    """Every later split against the first."""
     t = _seeded(spark, sf)
-    return metrics.paired_comparison(t.where("split = 'week1'"), t.where("split = 'week0'"), list(_M))
+    candidates = t.where("split <> 'week0'").withColumnRenamed("split", "candidate")
+    return metrics.paired_comparison(candidates, t.where("split = 'week0'"), list(_M), ("candidate",))
 
 
 @query("adoption_rule", table(q(
-    "select *, anticipation and alarm_cost and stability as adopted, alarm_cost and stability as non_inferior from (select avg(a.s2_star - b.s2_star) >= 0.03 and count(*) filter (where a.s2_star > b.s2_star) >= 2 as anticipation, "
-    "avg(a.s1_precision - b.s1_precision) > -0.05 and avg(a.s1_fpr - b.s1_fpr) < 0.02 as alarm_cost, min(a.pr_auc) >= 0.2 as stability from sd a join sd b using (seed) where a.split = 'week1' and b.split = 'week0')"),
-    i="anticipation alarm_cost stability adopted non_inferior"))
+    "select *, anticipation and alarm_cost and stability as adopted, alarm_cost and stability as non_inferior from (select a.split as candidate, avg(a.s2_star - b.s2_star) >= 0.03 and count(*) filter (where a.s2_star > b.s2_star) >= 2 as anticipation, "
+    "avg(a.s1_precision - b.s1_precision) > -0.05 and avg(a.s1_fpr - b.s1_fpr) < 0.02 as alarm_cost, min(a.pr_auc) >= 0.2 as stability from sd a join sd b using (seed) where a.split <> 'week0' and b.split = 'week0' group by a.split)"),
+    s="candidate", i="anticipation alarm_cost stability adopted non_inferior"))
 def adoption_rule(spark, sf):
-    return metrics.adoption_rule(paired_comparison(spark, sf))
+    return metrics.adoption_rule(paired_comparison(spark, sf), ("candidate",))
 
 
 @query("ablation_deltas", table(q("select a.seed, a.split as arm, a.s2_star - c.s2_star as s2_star_vs_week0, c.pr_auc - a.pr_auc as pr_auc_vs_week0 from sd a join sd c on c.seed = a.seed and c.split = 'week0'"),
@@ -421,12 +423,12 @@ def top_effects(spark, sf):
 
 
 @query("direction_flips", table(q(
-    "select a.split, a.feature, a.d as d_train, b.d as d_held, coalesce(sign(a.d) <> sign(b.d) and abs(a.d) >= 0.2 and abs(b.d) >= 0.2, false) as flips from "
-    f"({_effect('smd')}) a join (select 'week0' as split, feature, d from ({_effect('smd')}) where split = 'week1') b using (split, feature)"), s="split feature", i="flips", d="d_train d_held"))
+    "select b.split, b.feature, a.d as d_train, b.d as d_held, coalesce(sign(a.d) <> sign(b.d) and abs(a.d) >= 0.2 and abs(b.d) >= 0.2, false) as flips from "
+    f"(select * from ({_effect('smd')}) where split = 'week0') a join (select * from ({_effect('smd')}) where split <> 'week0') b on b.feature = a.feature"), s="split feature", i="flips", d="d_train d_held"))
 def direction_flips(spark, sf):
+    """Every later split against the first."""
     d = effect_sizes_smd(spark, sf)
-    held = d.where("split = 'week1'").withColumn("split", F.lit("week0"))
-    return metrics.direction_flips(d, held)
+    return metrics.direction_flips(d.where("split = 'week0'").drop("split"), d.where("split <> 'week0'"), keys=(), per=("split",))
 
 
 @query("background_windows", table(q("select s.split, s.w, not exists (select 1 from sc t where t.split = s.split and t.attack_now = 1 and s.w >= t.w - 6 and s.w < t.w + 6) as background from sc s"),

@@ -106,14 +106,15 @@ def window_expand(spark, sf):
     return grid_of(rows).expand(rows.select("split", "ts", "flow_id")).select("split", "w", "flow_id")
 
 
-@query("window_spine_fill", table(q("select sp.split, sp.w, sp.ts_us, coalesce(c, 0) as n_flows from sp left join "
-                                    "(select split, w, count(*) as c from ex where dst_port = 80 group by split, w) using (split, w)"),
-                                  s="split", i="w ts_us n_flows"))
+@query("window_spine_fill", table(q("select sp.split, sp.w, sp.ts_us, coalesce(c, 0) as n_flows, coalesce(bad, 0) as n_attacks from sp left join "
+                                    "(select split, w, count(*) as c, count(*) filter (where stage > 0) as bad from ex group by split, w) using (split, w)"),
+                                  s="split", i="w ts_us n_flows n_attacks"))
 def window_spine_fill(spark, sf):
     rows = flows(spark, sf)
     g = grid_of(rows)
-    hits = g.locate(rows.where("dst_port = 80").select("split", "ts")).groupBy("split", "slice_no", "n").agg(F.count("*").alias("c"))
-    return g.fill(g.to_windows(hits).groupBy("split", "w").agg(F.sum("c").alias("n_flows")), ["n_flows"]).withColumnRenamed("ts", "ts_us")
+    hits = g.locate(rows.select("split", "ts", "stage")).groupBy("split", "slice_no", "n").agg(F.count("*").alias("c"), F.count_if(F.col("stage") > 0).alias("bad"))
+    counts = g.to_windows(hits).groupBy("split", "w").agg(F.sum("c").alias("n_flows"), F.sum("bad").alias("n_attacks"))
+    return g.fill(counts, ["n_flows", "n_attacks"]).withColumnRenamed("ts", "ts_us")
 
 
 @query("window_sliced", table(q("select split, w, count(*) as c from (select *, unnest(generate_series(greatest(0, cast(floor((off_us - "
@@ -372,17 +373,24 @@ def host_relative_features(spark, sf):
 
 
 def _segment(side):
-    return (f"select split, '{side}' as side, {side} as host, " + ", ".join(
-        f"coalesce(sum(case when w >= {a} and w < {b} then c end), 0) / {float(b - a)} as {n}"
-        for n, a, b in (("baseline", 30, 50), ("run_up", 50, 60), ("after", 62, 80)))
-        + f" from (select split, w, {side}, count(distinct dst_port) as c from ex where stage = 0 group by all) where w >= 30 and w < 80 group by all")
+    return (f"select o.split, o.onset_w, '{side}' as side, {side} as host, " + ", ".join(
+        f"coalesce(sum(case when x.w >= o.onset_w + {a} and x.w < o.onset_w + {b} then c end), 0) / {float(b - a)} as {n}"
+        for n, a, b in (("baseline", -30, -10), ("run_up", -10, 0), ("after", 2, 20)))
+        + f" from (select split, w, {side}, count(distinct dst_port) as c from ex where stage = 0 group by all) x "
+          "join ons_a o on o.split = x.split and x.w >= o.onset_w - 30 and x.w < o.onset_w + 20 group by all")
+
+
+def _contributions():
+    return table(q(f"select *, run_up - baseline as delta from ({_segment('src_ip')} union all {_segment('dst_ip')})"),
+                 s="split side host", i="onset_w", d="baseline run_up after delta")
 
 
-@query("segment_contributions", table(q(f"select *, run_up - baseline as delta from ({_segment('src_ip')} union all {_segment('dst_ip')})"),
-                                      s="split side host", d="baseline run_up after delta"))
 def segment_contributions(spark, sf):
+    """Around every onset of every split."""
     rows = flows(spark, sf)
-    return blocks.segment_contributions(rows, grid_of(rows), onset=60, horizon=10, baseline=20, after=20)
+    g = grid_of(rows)
+    onset_table = targets.episode_onsets(state.window_stages(rows, g))
+    return blocks.onset_contributions(rows, g, onset_table, horizon=10, baseline=20, after=20)
 
 
 _BAD = "select distinct split, src_ip from fx where label = 'Botnet'"
@@ -445,6 +453,9 @@ cte("ons_a", f"select split, w as onset_w, stage, {_NAME} as family from (select
 cte("ons_c", f"select split, w as onset_w, stage, {_NAME} as family from (select *, w - lag(w) over (partition by split order by w) as d from st where stage between 3 and 5) where d is null or d > 4")
 
 
+query("segment_contributions", _contributions())(segment_contributions)
+
+
 @query("episode_onsets", table(q("select 'attack' as source, * from ons_a union all select 'compromise', * from ons_c"), s="source split family", i="onset_w stage"))
 def episode_onsets(spark, sf):
     s = stages(spark, sf)

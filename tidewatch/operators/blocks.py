@@ -225,15 +225,9 @@ def _fresh_after_first(flows: DataFrame, grid: Grid, internal: tuple[str, ...],
 
 # --- B8-B10 -----------------------------------------------------------------------------------------------
 
-def segment_contributions(flows: DataFrame, grid: Grid, onset: int, horizon: int, baseline: int, after: int,
-                          column: str = "dst_port") -> DataFrame:
-    """Per host, mean distinct ``column`` per window before, in the run-up to and after an onset.
-
-    Only benign flows; hosts as sources and as destinations; ordered by the run-up's increase.
-    """
+def _benign_spread(flows: DataFrame, grid: Grid, column: str) -> DataFrame:
+    """(split, w, side, host, c): distinct ``column`` of benign flows per window, hosts as sources and as destinations."""
     benign = flows.where(F.col("stage") == 0)
-    lengths = {"baseline": (onset - horizon - baseline, onset - horizon), "run_up": (onset - horizon, onset),
-               "after": (onset + 2, onset + after)}
     sides = []
     for side in ("src_ip", "dst_ip"):
         key = [side] if side == column else [side, column]
@@ -241,11 +235,39 @@ def segment_contributions(flows: DataFrame, grid: Grid, onset: int, horizon: int
         counts = (grid.to_windows(seen).select("split", "w", *key).distinct()
                   .groupBy("split", "w", F.col(side).alias("host")).agg(F.count("*").alias("c")))
         sides.append(counts.withColumn("side", F.lit(side)))
-    both = sides[0].unionByName(sides[1])
-    means = [(zero_if_null(F.sum(F.when((F.col("w") >= lo) & (F.col("w") < hi), F.col("c"))))
-              / F.lit(float(max(1, hi - lo)))).alias(name) for name, (lo, hi) in lengths.items()]
-    low, high = lengths["baseline"][0], lengths["after"][1]
-    table = both.where((F.col("w") >= low) & (F.col("w") < high)).groupBy("split", "side", "host").agg(*means)
+    return sides[0].unionByName(sides[1])
+
+
+def _segments(offset: Column, horizon: int, baseline: int, after: int) -> list[Column]:
+    """Mean of ``c`` per window in each segment around an onset ``offset`` windows away."""
+    lengths = {"baseline": (-horizon - baseline, -horizon), "run_up": (-horizon, 0), "after": (2, after)}
+    return [(zero_if_null(F.sum(F.when((offset >= lo) & (offset < hi), F.col("c")))) / F.lit(float(max(1, hi - lo)))).alias(name)
+            for name, (lo, hi) in lengths.items()]
+
+
+def segment_contributions(flows: DataFrame, grid: Grid, onset: int, horizon: int, baseline: int, after: int,
+                          column: str = "dst_port") -> DataFrame:
+    """Per host, mean distinct ``column`` per window before, in the run-up to and after an onset.
+
+    Only benign flows; hosts as sources and as destinations; ordered by the run-up's increase.
+    """
+    offset = F.col("w") - F.lit(onset)
+    near = _benign_spread(flows, grid, column).where((offset >= -horizon - baseline) & (offset < after))
+    table = near.groupBy("split", "side", "host").agg(*_segments(offset, horizon, baseline, after))
+    return table.withColumn("delta", F.col("run_up") - F.col("baseline"))
+
+
+def onset_contributions(flows: DataFrame, grid: Grid, onset_table: DataFrame, horizon: int, baseline: int, after: int,
+                        column: str = "dst_port") -> DataFrame:
+    """B8 for every onset of a table (split, onset_w): ``segment_contributions`` around each, one row per onset, side and host.
+
+    Each onset is spread over the windows of its segments, so counts meet it in an equi-join on (split, w); a host's
+    counts are repeated only for onsets whose segments overlap.
+    """
+    around = F.sequence(F.col("onset_w") - (horizon + baseline), F.col("onset_w") + (after - 1))
+    marks = onset_table.select("split", F.col("onset_w").cast("bigint").alias("onset_w")).distinct().withColumn("w", F.explode(around))
+    near = _benign_spread(flows, grid, column).join(marks, ["split", "w"])
+    table = near.groupBy("split", "onset_w", "side", "host").agg(*_segments(F.col("w") - F.col("onset_w"), horizon, baseline, after))
     return table.withColumn("delta", F.col("run_up") - F.col("baseline"))
 
 

@@ -87,23 +87,26 @@ def best_threshold(scored: DataFrame, keys: tuple[str, ...] = ("split",), grid:
 
 # --- E17-E20: comparisons over runs -----------------------------------------------------------------------
 
-def paired_comparison(candidate: DataFrame, base: DataFrame, metrics: list[str]) -> DataFrame:
-    """Per metric, deltas candidate - base over shared seeds: mean, seeds, seeds improved."""
+def paired_comparison(candidate: DataFrame, base: DataFrame, metrics: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per metric, deltas candidate - base over shared seeds: mean, seeds, seeds improved.
+
+    ``keys`` are columns that tell several candidates apart; each is paired with the same base.
+    """
     values = [F.col(m).cast("double").alias(m) for m in metrics]
-    a = candidate.select("seed", *values).unpivot("seed", metrics, "metric", "a")
+    a = candidate.select(*keys, "seed", *values).unpivot([*keys, "seed"], metrics, "metric", "a")
     b = base.select("seed", *values).unpivot("seed", metrics, "metric", "b")
     d = F.col("a") - F.col("b")
-    return a.join(b, ["seed", "metric"]).groupBy("metric").agg(
+    return a.join(b, ["seed", "metric"]).groupBy(*keys, "metric").agg(
         F.count("*").alias("seeds"), F.avg(d).alias("mean_delta"), F.count_if(d > 0).alias("seeds_up"),
         F.min("a").alias("candidate_min"))
 
 
-def adoption_rule(comparison: DataFrame) -> DataFrame:
-    """The three clauses of the seed-paired bar on a ``paired_comparison`` table."""
+def adoption_rule(comparison: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The three clauses of the seed-paired bar on a ``paired_comparison`` table, per candidate (``keys``)."""
     def pick(metric: str, col: str) -> Column:
         return F.max(F.when(F.col("metric") == metric, F.col(col)))
 
-    clauses = comparison.agg(
+    clauses = comparison.groupBy(*keys).agg(
         ((pick("s2_star", "mean_delta") >= 0.03) & (pick("s2_star", "seeds_up") >= 2)).alias("anticipation"),
         ((pick("s1_precision", "mean_delta") > -0.05) & (pick("s1_fpr", "mean_delta") < 0.02)).alias("alarm_cost"),
         (pick("pr_auc", "candidate_min") >= 0.20).alias("stability"))
@@ -353,10 +356,14 @@ def background_windows(states: DataFrame, gap: int = 30) -> DataFrame:
     return states.withColumn("background", near == 0)
 
 
-def direction_flips(train: DataFrame, held: DataFrame, at_least: float = 0.2, keys: tuple[str, ...] = ("split",)) -> DataFrame:
-    """Features whose effect changes sign between training and held-out data, both sizable."""
+def direction_flips(train: DataFrame, held: DataFrame, at_least: float = 0.2, keys: tuple[str, ...] = ("split",),
+                    per: tuple[str, ...] = ()) -> DataFrame:
+    """Features whose effect changes sign between training and held-out data, both sizable.
+
+    Both sides share ``keys``; ``per`` tells several held-out sets apart, each against the same training data.
+    """
     a = train.select(*keys, "feature", F.col("d").alias("d_train"))
-    b = held.select(*keys, "feature", F.col("d").alias("d_held"))
+    b = held.select(*keys, *per, "feature", F.col("d").alias("d_held"))
     flips = ((F.signum("d_train") != F.signum("d_held")) & (F.abs("d_train") >= at_least) & (F.abs("d_held") >= at_least))
     return a.join(b, [*keys, "feature"]).withColumn("flips", F.coalesce(flips, F.lit(False)))
 
