@@ -73,3 +73,23 @@ def test_round_trip_of_odd_rows(make_docs):
         assert rows[i].ids == LIBRARY.encode_ordinary(text or "")
         assert bytes(rows[i].decoded) == (text or "").encode()
     assert round_trip(make_docs([]), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_long_text_in_parts_equals_the_library(monkeypatch):
+    from tidewatch.llm import bpe
+    monkeypatch.setattr(bpe, "TEXT", 500)
+    monkeypatch.setattr(bpe, "PART", 7)
+    rng, encoder = random.Random(8), Encoder(RANKS, public_tokenizers.PATTERN)
+    texts = ["".join(rng.choice(PARTS) for _ in range(n)) for n in (400, 3, 0, 500, 1, 2000)] + [None]
+    got = encoder.encode_batch(texts)
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in got] == [LIBRARY.encode_ordinary(t or "") for t in texts]
+    assert any(len(t or "") > 500 for t in texts)
+
+
+def test_a_new_owner_gets_an_empty_store():
+    from tidewatch.llm import common
+    common.held_by("one")["x"] = 1
+    common._power("p", common._P, 10)
+    assert common.held_by("one") == {"x": 1}
+    assert common.held_by("two") == {} and not common._powers
+    assert common.held_by("one") == {}

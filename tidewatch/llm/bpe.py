@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,15 @@ NEVER = 1 << 60
 NODE_BITS, START = 24, 1 << 30
 NODE_MASK = (1 << NODE_BITS) - 1
 STATES_MOST = 400_000
-PIECES_MOST = 350_000
+PIECES_MOST = 200_000
 #: bytes after which settled tokens are let out; open ones are bounded by the longest token
 LOOKAHEAD = 64
 PAIRS_MOST = 1_000_000
 CHUNK = 4096
 #: pieces that go through the transducer in step, and characters whose pieces are looked up together
 STEP, TEXT = 16_384, 1 << 20
+#: pieces of one longer text that are looked up together
+PART = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,7 +70,7 @@ class Transducer:
             self.token_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # left << 32 | right
         self._forget()
 
     def _forget(self) -> None:
@@ -114,7 +117,7 @@ class Transducer:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether the merges leave ``left`` and ``right`` as they are when they stand side by side."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is not None:
             return known
         a, b = self.edge(left, 1), self.edge(right, 0)
@@ -135,7 +138,7 @@ class Transducer:
                 j += 1
         if len(self.pairs) >= PAIRS_MOST:
             self.pairs.clear()
-        self.pairs[left, right] = answer
+        self.pairs[left << 32 | right] = answer
         return answer
 
     def _closes(self, hypothesis: int) -> int:
@@ -302,7 +305,7 @@ class Encoder:
     """Whole texts: every match of the pattern goes through the transducer; recent pieces are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst, self.find = Transducer(ranks), regex.compile(pattern).findall
+        self.fst, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -318,15 +321,20 @@ class Encoder:
             while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= TEXT):
                 size += len(texts[stop] or "")
                 stop += 1
-            out += self._encoded(texts[start:stop])
+            if size > TEXT:  # one long text: its pieces come in parts
+                matches = self.pattern.finditer(texts[start])
+                parts = iter(lambda: [m.group() for m in islice(matches, PART)], [])
+                out.append(b"".join(self._ids([part])[0] for part in parts))
+            else:
+                out += self._ids([self.pattern.findall(t) if t else [] for t in texts[start:stop]])
             start = stop
         return out
 
-    def _encoded(self, texts: list[str | None]) -> list[bytes]:
+    def _ids(self, pieces: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pieces, one behind the other."""
         if len(self.known) >= PIECES_MOST:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        pieces = [self.find(t) if t else [] for t in texts]
         tokens = [list(map(known.get, found)) for found in pieces]
         missed = {p for found, own in zip(pieces, tokens) if None in own for p, t in zip(found, own) if t is None}
         if not missed:

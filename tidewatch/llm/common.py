@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from contextlib import contextmanager
 
@@ -49,10 +50,23 @@ def held_by(owner: str) -> dict:
     """What ``owner``'s code keeps in this worker process from batch to batch.
 
     What other owners kept is dropped: a worker that serves one stage after another holds the caches of one.
+    Memory that earlier stages freed goes back to the system then, not only to this process.
     """
-    for other in [o for o in _held if o != owner]:
-        del _held[other]
-    return _held.setdefault(owner, {})
+    if owner not in _held:
+        _held.clear()
+        _powers.clear()
+        _give_back()
+        _held[owner] = {}
+    return _held[owner]
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 @contextmanager
