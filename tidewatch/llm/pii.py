@@ -6,11 +6,11 @@ expressions. Nothing is shuffled but the counts of feature combinations for the
 *Base spans* (e-mail, ip, card, phone) follow fixed rules and always stand. *Candidates* come from generators that
 overlap on purpose. Their features are binned formats (length, shares of digits and capitals, separators, checksum)
 and context (a keyword inside or shortly before). Labels for the fit are weak: a candidate that is a whole, valid
-instance of a known shape is positive. The fit sees a bounded sample (``SAMPLE`` documents, drawn by a hash of the
-id) as counts per feature combination, of which there are at most a few thousand. Beside the sample stand synthesised
-candidates of every shape, valid and not, with and without a keyword: what a table happens to lack (a card number without
-a keyword, say) is so judged by its format and not by the rate of its neighbours. Per generator, the threshold is the
-lowest at which the held-back half keeps ``PRECISION``.
+instance of a known shape is positive. The fit sees every document, as counts per feature combination, of which there
+are at most a few thousand. Beside them stand synthesised candidates of every shape, valid and not, with and without a
+keyword: what a table happens to lack (a card number without a keyword, say) is so judged by its format and not by the
+rate of its neighbours. The trees come from one half of the documents, by a hash of the id; per generator, the threshold
+is the lowest at which the other half keeps ``PRECISION``.
 
 Java regular expressions backtrack, so runs are taken possessively and may begin only where a run or the last match ends:
 long runs cost linear time, and results are those of the plain patterns.
@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import free_name
 
-SAMPLE = 20_000
 PRECISION = 0.97
-#: what the synthesised candidates weigh against those of the sample, all together, and each combination at least
+#: what the synthesised candidates weigh against those of the table, all together, and each combination at least
 SYNTHESISED, SYNTHESISED_LEAST = 0.5, 20
 ROUNDS, RATE, DEPTH = 25, 0.4, 3
 
@@ -263,18 +262,17 @@ def _candidates(docs: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Trees:
-    """The trees fitted on a bounded sample of ``docs(doc_id, text)`` and on the synthesised candidates."""
-    total = docs.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).cast("double") * max(total, 1) < float(SAMPLE << 20)
-    sample = docs.where(draw).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """The trees fitted on all candidates of ``docs(doc_id, text)`` and on the synthesised ones."""
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("doc_id"), F.explode(F.array(*map(F.lit, _synthesised()))).alias("text"))
     keys = ["kind", *FEATURES]
 
     def counted(rows: DataFrame, half: Column) -> list[dict]:
-        found = _candidates(rows, "text", "c").select(F.explode("c").alias("c"), half.alias("half")).select("half", "c.*")
+        # outer: of a plain explode Spark would infer a filter that finds all candidates once more
+        found = _candidates(rows, "text", "c").select(F.explode_outer("c").alias("c"), half.alias("half")).where(F.col("c").isNotNull()).select("half", "c.*")
         return [r.asDict() for r in found.groupBy("half", *keys).agg(F.count("*").alias("n"), F.sum("label").alias("positive")).collect()]
 
-    counts, made = counted(sample, F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2))), counted(texts, F.lit(0))
+    counts, made = counted(own, F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2))), counted(texts, F.lit(0))
     weight = max(SYNTHESISED_LEAST, SYNTHESISED * sum(r["n"] for r in counts) / max(1, len(made)))
     return fit(counts + [r | {"n": weight, "positive": weight * r["positive"] / r["n"]} for r in made])
 
