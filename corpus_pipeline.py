@@ -10,6 +10,9 @@ from tidewatch.llm import bpe, decontaminate, langid, near_dedup, pii
 from tidewatch.llm.common import free_name, session, table
 from tidewatch.session import cut_lineage
 
+#: the JVM beside the workers has grown in the stages before, so they remember fewer pieces than op10's
+PIECES_MOST = 100_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with enough confidence."""
@@ -39,7 +42,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, number of tokens, their ids, and whether decoding them gives the text back."""
     session(spark)
     text, ids = free_name(docs, "whole_text"), free_name(docs, "ids")
-    encode, decode = bpe.codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encode, decode = bpe.codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, PIECES_MOST)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
     rows = rows.withColumn(ids, encode(F.col(text)))
     return rows.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("ids"),

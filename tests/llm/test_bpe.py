@@ -93,3 +93,17 @@ def test_a_new_owner_gets_an_empty_store():
     assert common.held_by("one") == {"x": 1}
     assert common.held_by("two") == {} and not common._powers
     assert common.held_by("one") == {}
+
+
+def test_a_worker_s_tables_stay_small():
+    import sys
+    rng, encoder = random.Random(3), Encoder(RANKS, public_tokenizers.PATTERN, 1000)
+    texts = [" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(3, 12))) for _ in range(500)) for _ in range(40)]
+    got = [ids for i in range(0, 40, 5) for ids in encoder.encode_batch(texts[i:i + 5])]
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in got] == [LIBRARY.encode_ordinary(t) for t in texts]
+    fst = encoder.fst
+    long = "".join(rng.choice("etaoinshr") for _ in range(3000)).encode()
+    assert list(fst.encode(long)) == LIBRARY.encode_ordinary(long.decode()) == list(fst.encode(long))
+    # at most some 100 bytes a state beside its number, and moves by key only until they are sorted
+    assert sum(map(sys.getsizeof, fst.states)) < 100 * len(fst.states)
+    assert len(fst.fresh) < fst.moves / 4 and len(encoder.known) < 4000

@@ -38,7 +38,9 @@ STATES_MOST = 400_000
 PIECES_MOST = 350_000
 #: bytes after which settled tokens are let out; open ones are bounded by the longest token
 LOOKAHEAD = 64
-PAIRS_MOST = 1_000_000
+PAIRS_MOST = 300_000
+#: moves that long pieces, walked alone, remember by key
+WALKED_MOST = 1 << 17
 CHUNK = 4096
 #: pieces that go through the transducer in step, and characters whose pieces are looked up together
 STEP, TEXT = 16_384, 1 << 20
@@ -74,11 +76,13 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.states: list[tuple[int, ...]] = [(START << NODE_BITS,)]
-        self.number: dict[tuple[int, ...], int] = {self.states[0]: 0}
+        # a state is the bytes of its hypotheses, 64 bits each
+        self.states: list[bytes] = [array("q", [START << NODE_BITS]).tobytes()]
+        self.number: dict[bytes, int] = {self.states[0]: 0}
         self.ends: dict[int, tuple[int, int]] = {}
-        # moves as columns; their numbers by key (state * 256 + byte), and by key in order as far as they have been sorted
-        self.index: dict[int, int] = {}
+        # moves as columns; their numbers by key (state * 256 + byte): in order as far as they have been sorted, else in ``fresh``
+        self.moves, self.fresh = 0, {}
+        self.walked: dict[int, int] = {}
         self.columns = np.zeros((5, 1024), np.int32)  # next state, begun, source, closed, where its sources lie
         self.sources, self.used = np.zeros(4096, np.int32), 0
         self.sorted = np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -154,7 +158,7 @@ class Transducer:
         source, closed token."""
         after, sources, begun, source, closed = [], [], -1, -1, -1
         step_of = self.step_of
-        for i, hypothesis in enumerate(self.states[state]):
+        for i, hypothesis in enumerate(array("q", self.states[state])):
             child = step_of.get((hypothesis & NODE_MASK) << 8 | byte)
             if child:
                 after.append(hypothesis & ~NODE_MASK | child)
@@ -165,16 +169,17 @@ class Transducer:
         if closed >= 0:
             begun = len(after)
             after.append(closed << NODE_BITS | step_of[byte])
-        new = tuple(after)
+        new = array("q", after).tobytes()
         at = self.number.get(new)
         if at is None:
             at = self.number[new] = len(self.states)
             self.states.append(new)
-        place = self.index[state << 8 | byte] = len(self.index)
+        place = self.fresh[state << 8 | byte] = self.moves
+        self.moves += 1
         if place == self.columns.shape[1]:
-            self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)], axis=1)
+            self.columns = np.concatenate([self.columns, np.zeros((5, place // 2), np.int32)], axis=1)
         if self.used + len(sources) >= len(self.sources):
-            self.sources = np.concatenate([self.sources, np.zeros(len(self.sources) + len(sources), np.int32)])
+            self.sources = np.concatenate([self.sources, np.zeros(len(self.sources) // 2 + len(sources), np.int32)])
         self.columns[:, place] = (at, begun, source, closed, self.used)
         self.sources[self.used:self.used + len(sources)] = sources
         self.used += len(sources)
@@ -182,12 +187,14 @@ class Transducer:
 
     def _moves_of(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of the moves with these keys (state * 256 + byte); those not met before are made."""
-        if len(self.index) - len(self.sorted[0]) > max(2048, len(self.sorted[0]) // 16) or not len(self.sorted[0]):
-            if not self.index:
+        fresh = self.fresh
+        if len(fresh) > max(2048, len(self.sorted[0]) // 16) or not len(self.sorted[0]):
+            if not fresh:
                 self._move(int(keys[0]) >> 8, int(keys[0]) & 255)
-            known = np.fromiter(self.index.keys(), np.int64, len(self.index))
-            order = np.argsort(known)
-            self.sorted = known[order], np.fromiter(self.index.values(), np.int32, len(self.index))[order]
+            known = np.concatenate([self.sorted[0], np.fromiter(fresh.keys(), np.int64, len(fresh))])
+            order = np.argsort(known, kind="stable")
+            self.sorted = known[order], np.concatenate([self.sorted[1], np.fromiter(fresh.values(), np.int32, len(fresh))])[order]
+            fresh.clear()
         known, numbers = self.sorted
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         out = numbers[at]
@@ -195,9 +202,9 @@ class Transducer:
         if len(new):
             missing, where = np.unique(keys[new], return_inverse=True)
             for key in missing.tolist():
-                if key not in self.index:
+                if key not in fresh:
                     self._move(key >> 8, key & 255)
-            out[new] = np.array([self.index[key] for key in missing.tolist()], np.int32)[where]
+            out[new] = np.array([fresh[key] for key in missing.tolist()], np.int32)[where]
         return out
 
     def encode_many(self, pieces: list[bytes]) -> list[bytes]:
@@ -251,7 +258,7 @@ class Transducer:
 
     def _end(self, state: int) -> tuple[int, int]:
         """The hypothesis that ends the text here, and its last token."""
-        for i, hypothesis in enumerate(self.states[state]):
+        for i, hypothesis in enumerate(array("q", self.states[state])):
             token = self._closes(hypothesis)
             if token >= 0:
                 self.ends[state] = i, token
@@ -268,6 +275,18 @@ class Transducer:
             else:
                 at = int(self.sources[first + at])
 
+    def _walk(self, key: int) -> int:
+        """The number of the move with this key, made if it was not met before."""
+        place = self.fresh.get(key)
+        if place is None:
+            known, numbers = self.sorted
+            at = int(np.searchsorted(known, key))
+            place = int(numbers[at]) if at < len(known) and known[at] == key else self._move(key >> 8, key & 255)
+        if len(self.walked) >= WALKED_MOST:
+            self.walked.clear()
+        self.walked[key] = place
+        return place
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -276,14 +295,14 @@ class Transducer:
             return ()
         if len(self.states) > STATES_MOST:
             self._forget()
-        state, path, index, done = 0, [], self.index, []
+        state, path, walked, done = 0, [], self.walked, []
         for byte in piece:
-            place = index.get(state << 8 | byte)
+            place = walked.get(state << 8 | byte)
             if place is None:
-                place = self._move(state, byte)
+                place = self._walk(state << 8 | byte)
             path.append(place)
             state = int(self.columns[0, place])
-            if len(path) > LOOKAHEAD and len(self.states[state]) == 1:
+            if len(path) > LOOKAHEAD and len(self.states[state]) == 8:
                 # one hypothesis is left: everything behind it is settled and leaves
                 ready: list[int] = []
                 self._closed(path, 0, ready)
@@ -292,7 +311,7 @@ class Transducer:
                 if len(self.states) > 2 * STATES_MOST:  # one very long piece
                     now = self.states[state]
                     self._forget()
-                    index, state = self.index, 1
+                    walked, state = self.walked, 1
                     self.states.append(now)
                     self.number[now] = 1
         at, token = self.ends.get(state) or self._end(state)
@@ -304,8 +323,9 @@ class Transducer:
 class Encoder:
     """Whole texts: every match of the pattern goes through the transducer; recent pieces are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = PIECES_MOST):
         self.fst, self.pattern = Transducer(ranks), regex.compile(pattern)
+        self.most = most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -332,7 +352,7 @@ class Encoder:
 
     def _ids(self, pieces: list[list[str]]) -> list[bytes]:
         """The ids of each list of pieces, one behind the other."""
-        if len(self.known) >= PIECES_MOST:
+        if len(self.known) >= self.most:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         tokens = [list(map(known.get, found)) for found in pieces]
@@ -401,17 +421,18 @@ def _once(kind: str, key: str, make: Callable[[], object]):
     return kept[kind][1]
 
 
-def codec(spark: SparkSession, rank_file: str, pattern: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+def codec(spark: SparkSession, rank_file: str, pattern: str, most: int = PIECES_MOST) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     """``(encode, decode)``: column functions from text to ``array<int>`` and from that to binary.
 
-    A null or empty text has no ids, and no ids are the empty binary. Ids that the vocabulary lacks raise.
+    A null or empty text has no ids, and no ids are the empty binary. Ids that the vocabulary lacks raise. A worker
+    remembers up to twice ``most`` pieces: fewer cost time, more cost memory.
     """
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
-    key = f"{spark.sparkContext.applicationId}/{rank_file}/{pattern}"
+    key = f"{spark.sparkContext.applicationId}/{rank_file}/{pattern}/{most}"
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _once("encoder", key, lambda: Encoder(ranks.value, pattern))
+        encoder = _once("encoder", key, lambda: Encoder(ranks.value, pattern, most))
         with without_collector():
             rows = encoder.encode_batch(texts.to_pylist())
         ends = np.cumsum([0, *map(len, rows)]) // 4
