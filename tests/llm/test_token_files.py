@@ -63,3 +63,22 @@ def test_tokens_that_take_their_neighbours_go_to_the_library_whole(tmp_path):
     texts = ["a <pad> b", "c <padding> d  <|endoftext|> ", "plain text", "<pad><padding>"]
     encoder = token_files.PieceEncoder(f"{tmp_path}/own.json", public_tokenizers.PATTERN, False)
     assert [ids.tolist() for ids in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_pieces_go_to_the_library_as_one_text():
+    library = Tokenizer.from_file(PATH)
+    encoder = token_files.PieceEncoder(PATH, public_tokenizers.PATTERN, False)
+    texts = ["it's\r\n  <|endoftext <|<|endoftext|>|> é\U0001f600 \x00", "", "<|endoftext|>", "a" * 300 + " <| endoftext|>", "|> <|"]
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, parts, **options):
+            calls.append(len(parts))
+            return library.encode_batch_fast(parts, **options)
+
+    encoder.tokenizer = Counted()
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls == [1]

@@ -70,6 +70,10 @@ class PieceEncoder:
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.added = sorted((t.content for t in added), key=len, reverse=True)
         self.odd = [t.content for t in added if t.single_word or t.lstrip or t.rstrip or t.normalized]
+        # one token that can stand between pieces: nothing else may match there, nor the token overlap itself
+        alone = self.added[0] if len(self.added) == 1 and not self.odd else None
+        self.between = alone if alone and not any(alone.startswith(alone[i:]) for i in range(1, len(alone))) else None
+        self.between_id = self.tokenizer.token_to_id(alone) if alone else None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split
         self.find, self.known, self.older = regex.compile(pattern).findall, {}, {}
 
@@ -89,6 +93,14 @@ class PieceEncoder:
             return None
         return [p for i, part in enumerate(self.cut(text)) for p in ([part] if i % 2 else self.find(part))]
 
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; as one text with the added token between the pieces, where there is such a token."""
+        if self.between and not any(self.between in p for p in pieces):
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts, raw = np.flatnonzero(ids == self.between_id) * 4, ids.tobytes()
+            return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > PIECES_MOST:
             self.known, self.older = {}, self.known
@@ -97,16 +109,19 @@ class PieceEncoder:
         tokens = [list(map(known.get, found or ())) for found in pieces]
         missed = {p for found, own in zip(pieces, tokens) if None in own for p, t in zip(found, own) if t is None}
         known.update((p, older[p]) for p in missed if p in older)
-        new = [p for p in missed if p not in known]
+        new = [p for p in missed if p not in known and p != self.between]
+        if self.between in missed:
+            known[self.between] = array("I", [self.between_id]).tobytes()
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = array("I", e.ids).tobytes()
+            known.update(zip(part, self._ids(part), strict=True))
         for text, found, own in zip(texts, pieces, tokens):
             if found is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                yield np.frombuffer(b"".join(own if None not in own else map(known.__getitem__, found)), np.uint32)
+                if None in own:
+                    own = [known[p] if t is None else t for p, t in zip(found, own)]
+                yield np.frombuffer(b"".join(own), np.uint32)
 
 
 def _encoded(path: str, pattern: str, special_as_text: bool):
