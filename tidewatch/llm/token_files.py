@@ -25,10 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import held_by, without_collector
+from tidewatch.llm.common import held_by, pieces, text_buffers, without_collector
+from tidewatch.llm.remembered import Remembered
 
 BLOCK_TOKENS = 1 << 16
 PIECES_MOST = 400_000
+#: new pieces that go to the library as one text
+AT_ONCE = 10_000
+#: bytes of texts whose words are looked up together, or one text
+TEXT = 1 << 20
 END_ID = 0
 
 #: token lengths by control byte
@@ -43,8 +48,9 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes[:len(ranks)] = lengths - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    kept = np.arange(4) < lengths[:, None]
-    return control.tobytes(), ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    widest = int(lengths.max(initial=1))
+    kept = np.arange(widest, dtype=np.uint8) < lengths[:, None]
+    return control.tobytes(), ranks.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[:, :widest][kept].tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -58,7 +64,7 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-class PieceEncoder:
+class PieceEncoder(Remembered):
     """The tokenizer file's ids of whole texts. The library cuts a text at the file's added tokens, what lies between
     into pieces by ``pattern``, and merges inside pieces only, so each distinct piece is given to it once and remembered.
     A text with an added token that takes white space or looks at its neighbours goes to the library whole."""
@@ -75,7 +81,15 @@ class PieceEncoder:
         self.between = alone if alone and not any(alone.startswith(alone[i:]) for i in range(1, len(alone))) else None
         self.between_id = self.tokenizer.token_to_id(alone) if alone else None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split
-        self.find, self.known, self.older = regex.compile(pattern).findall, {}, {}
+        self.added_ids = {t: array("I", [self.tokenizer.token_to_id(t)]).tobytes() for t in self.added}
+        # bytes of each id's token in a byte-level file
+        self.widths = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            if i < len(self.widths):
+                self.widths[i] = len(token)
+        if self.between:
+            self.widths[self.between_id] = len(self.between.encode())
+        super().__init__(pattern, self._ids, PIECES_MOST)
 
     @classmethod
     def of(cls, path: str, pattern: str, special_as_text: bool) -> PieceEncoder:
@@ -85,51 +99,66 @@ class PieceEncoder:
             kept[key] = cls(*key)
         return kept[key]
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text, an added token being one; nothing for a text that the library must see whole."""
+    def parts(self, text: str) -> list[str] | None:
+        """What lies between the added tokens of a text, and these at odd places; nothing for a text that the library
+        must see whole."""
         if not any(t in text for t in self.added):
-            return self.find(text)
-        if any(t in text for t in self.odd):
-            return None
-        return [p for i, part in enumerate(self.cut(text)) for p in ([part] if i % 2 else self.find(part))]
+            return [text]
+        return None if any(t in text for t in self.odd) else self.cut(text)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece; as one text with the added token between the pieces, where there is such a token."""
+        return [ids for i in range(0, len(pieces), AT_ONCE) for ids in self._some_ids(pieces[i:i + AT_ONCE])]
+
+    def _some_ids(self, pieces: list[str]) -> list[bytes]:
         if self.between and not any(self.between in p for p in pieces):
             ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
             cuts, raw = np.flatnonzero(ids == self.between_id) * 4, ids.tobytes()
             return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])]
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def of_cut(self, heads: list[str], words: list[str]) -> list[bytes]:
+        if not self.between:
+            return super().of_cut(heads, words)
+        items = [h + self.between for h in heads] + [" " + w for w in words]
+        out = []
+        for i in range(0, len(items), AT_ONCE):
+            part, ended = items[i:i + AT_ONCE], max(0, min(len(heads) - i, AT_ONCE))
+            found = self._run(part, ended)
+            out += super().of_cut(heads[i:i + ended], [w[1:] for w in part[ended:]]) if found is None else found
+        return out
+
+    def _run(self, items: list[str], ended: int) -> list[bytes] | None:
+        """The ids of each of ``items`` from one text of them all, where the library ends a token with each of them; the
+        added token that the first ``ended`` end with is left out."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(items)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(self.widths[ids])
+        due = np.cumsum(np.fromiter((len(t.encode()) for t in items), np.int64, len(items)))
+        at = np.searchsorted(ends, due, "left")
+        if (not len(ends) or ends[-1] != due[-1] or (ends[at] != due).any()
+                or np.count_nonzero(ids == self.between_id) != ended or (ids[at[:ended]] != self.between_id).any()):
+            return None
+        raw, cuts = ids.tobytes(), (4 * at + 4).tolist()
+        return [raw[a:b - 4 if i < ended else b] for i, (a, b) in enumerate(zip([0, *cuts], cuts))]
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.known) > PIECES_MOST:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        pieces = [self.pieces(t) for t in texts]
-        tokens = [list(map(known.get, found or ())) for found in pieces]
-        missed = {p for found, own in zip(pieces, tokens) if None in own for p, t in zip(found, own) if t is None}
-        known.update((p, older[p]) for p in missed if p in older)
-        new = [p for p in missed if p not in known and p != self.between]
-        if self.between in missed:
-            known[self.between] = array("I", [self.between_id]).tobytes()
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            known.update(zip(part, self._ids(part), strict=True))
-        for text, found, own in zip(texts, pieces, tokens):
+        parts = [self.parts(t) for t in texts]
+        ids = iter(self.of_texts([p for found in parts for p in (found or [])[::2]]))
+        for text, found in zip(texts, parts):
             if found is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif len(found) == 1:
+                yield np.frombuffer(next(ids), np.uint32)
             else:
-                if None in own:
-                    own = [known[p] if t is None else t for p, t in zip(found, own)]
-                yield np.frombuffer(b"".join(own), np.uint32)
+                yield np.frombuffer(b"".join([self.added_ids[p] if i % 2 else next(ids) for i, p in enumerate(found)]), np.uint32)
 
 
 def _encoded(path: str, pattern: str, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = PieceEncoder.of(path, pattern, special_as_text), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
+            for a, b in pieces(text_buffers(batch.column(1))[1], TEXT):
+                part = batch.slice(a, b - a)
                 n, cells = [], []
                 with without_collector():
                     found = list(encoder.encode([t or "" for t in part.column(1).to_pylist()]))
@@ -143,16 +172,17 @@ def _encoded(path: str, pattern: str, special_as_text: bool):
     return run
 
 
-def _ids(cell: bytes, n: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(cell)
+def _ids(cell: bytes, n: int, press: zstandard.ZstdDecompressor) -> np.ndarray:
+    raw = press.decompress(cell)
     return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+    total, press = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
     for batch in batches:
-        for n, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen = np.bincount(_ids(cell, n))
+        cells = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for a in range(0, len(cells), 64):
+            seen = np.bincount(np.concatenate([_ids(cell, n, press) for n, cell in cells[a:a + 64]]))
             if len(seen) > len(total):
                 total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
             total[:len(seen)] += seen
@@ -162,7 +192,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(rank_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, number = rank_of.value, 0
+        ranks, number, press = rank_of.value, 0, zstandard.ZstdDecompressor()
         docs, sizes, held, tokens = [], [], [], 0
 
         def block():
@@ -175,7 +205,7 @@ def _blocks(rank_of):
             for doc_id, n, cell in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 docs.append(doc_id)
                 sizes.append(n)
-                held.append(_ids(cell, n).astype(np.int64))
+                held.append(_ids(cell, n, press))
                 tokens += n
                 if tokens >= BLOCK_TOKENS:
                     yield block()
