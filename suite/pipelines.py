@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite.base import INTERNAL, K, comparable, flows, grid_of, q, table
-from tidewatch import WindowSpec
+from tidewatch import WindowSpec, fixtures
 from tidewatch.plans import build
 from tidewatch.schema import BASE_FEATURES
+from tidewatch.session import prepare
 
 QUERIES, ORACLES = {}, {}
 
@@ -41,7 +42,10 @@ def capture_report(spark, sf):
 
 @query("states_from_packets")
 def states_from_packets(spark, sf):
-    """Packets -> flows -> states with the packet block (its parts have oracles)."""
-    from suite.capture import packets
-    states, _ = build.states_from_packets(packets(spark, sf), INTERNAL, WindowSpec(60, 30), dedupe=False)
+    """Packets -> flows -> states with the packet block (its parts have oracles).
+
+    The packets are a projection of a table's rows: reading that again takes no disk, a written copy as much as the steps that read it.
+    """
+    packets = fixtures.packets(prepare(spark), sf)
+    states, _ = build.states_from_packets(packets, INTERNAL, WindowSpec(60, 30), dedupe=False)
     return states

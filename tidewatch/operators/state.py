@@ -17,6 +17,7 @@ from tidewatch.functions.columns import clean, entropy_bits, flow_shape
 from tidewatch.functions.labels import effective_stage
 from tidewatch.operators.grid import Grid, _div
 from tidewatch.schema import BASE_FEATURES, IMPACT, RATE_BASES, STAGES, STATISTICS
+from tidewatch.session import kept_apart
 
 EDGE_KEYS = ["split", "slice_no", "n", "src_ip", "dst_ip", "dst_port"]
 #: a window's beacon gaps are first taken inside this many pieces per slice
@@ -189,12 +190,15 @@ def beacon_features(flows: DataFrame, grid: Grid) -> DataFrame:
     return enough.groupBy("split", "w").agg(F.max(F.lit(1.0) / (F.lit(1.0) + cv)).alias("beacon_score"))
 
 
-def state_vector(flows: DataFrame, grid: Grid, internal: tuple[str, ...]) -> DataFrame:
-    """The full base vector: (split, w, ts, 70 columns in frozen order), one row per window of the grid."""
-    parts = [
-        volume_features(flows, grid, internal), spread_features(flows, grid), source_ports(flows, grid),
-        scan_features(flows, grid), beacon_features(flows, grid),
-    ]
+def state_vector(flows: DataFrame, grid: Grid, internal: tuple[str, ...], apart: bool = False) -> DataFrame:
+    """The full base vector: (split, w, ts, 70 columns in frozen order), one row per window of the grid.
+
+    ``apart`` makes one family after the other and writes its rows, few as they are, so that at no time the shuffles of
+    all families lie on disk together.
+    """
+    families = [lambda: volume_features(flows, grid, internal), lambda: spread_features(flows, grid), lambda: source_ports(flows, grid),
+                lambda: scan_features(flows, grid), lambda: beacon_features(flows, grid)]
+    parts = [kept_apart(family()) if apart else family() for family in families]
     return _merge_windows(grid, parts, list(BASE_FEATURES)).select("split", "w", "ts", *BASE_FEATURES)
 
 

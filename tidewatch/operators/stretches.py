@@ -21,18 +21,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut_lineage
+from tidewatch.session import kept_apart
 
 STRETCH = "_stretch"
 
 
-def dealt(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``rows`` in stretches sorted by (keys, order), kept: adds the stretch's number, ascending along the order.
+def dealt(rows: DataFrame, keys: list[str], order: list[str], kept: list[str] | None = None) -> DataFrame:
+    """``rows`` in stretches sorted by (keys, order), written: adds the stretch's number, ascending along the order.
 
-    The rows are written once, so every walk over them sees the same stretches, also after an executor is lost.
+    The rows are written once, so every walk over them sees the same stretches, also after an executor is lost; of their
+    columns those ``kept`` (all, if not named), as the order may not be needed once they lie in it. The shuffle's files then go.
     """
     sorted_rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    return cut_lineage(sorted_rows.withColumn(STRETCH, F.spark_partition_id()))
+    return kept_apart(sorted_rows.select(*(kept or rows.columns), F.spark_partition_id().alias(STRETCH)))
 
 
 def key_changes(batch: pa.RecordBatch, columns: list[int]) -> pa.Array:
@@ -51,15 +52,16 @@ def key_at(batch: pa.RecordBatch, columns: list[int], row: int) -> tuple:
 
 
 def speculate(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], Any],
-              step: Callable[..., tuple[Any, int]], output: str, rounds: int = 1000) -> DataFrame:
+              step: Callable[..., tuple[Any, int]], output: str, rounds: int = 1000, kept: list[str] | None = None) -> DataFrame:
     """Adds BIGINT ``output``: ``state, value = step(state, *inputs)`` along ``order`` within ``keys``, stretches in parallel.
 
     The first walk guesses that nothing came before a stretch. Whenever a stretch ends in another state than the walk of
     the next one began with, that one is walked again; when none is left, every state is the one a single walk would
     have had. States must be comparable and small: one per stretch reaches the driver. A rule whose state forgets its past within a
-    stretch takes two walks; one that never does takes a walk per stretch that a key spans.
+    stretch takes two walks; one that never does takes a walk per stretch that a key spans. Only columns ``kept`` (all, if not
+    named) are written and returned with it.
     """
-    ready = dealt(rows, keys, order)
+    ready = dealt(rows, keys, order, list(dict.fromkeys([*(kept or rows.columns), *keys, *inputs])))
     spark = rows.sparkSession
     slim = ready.select(*dict.fromkeys([*keys, *inputs, STRETCH]))
     before: dict[int, tuple] = {}
@@ -81,13 +83,13 @@ def speculate(rows: DataFrame, keys: list[str], order: list[str], inputs: list[s
 
     names = ready.columns
     walk = _walk(names, keys, inputs, start, step, spark.sparkContext.broadcast(before))
-    kept = [i for i, n in enumerate(names) if n != STRETCH]
+    left = [i for i, n in enumerate(names) if n in (kept or rows.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, out, _ in walk(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out, pa.int64())], names=[*(names[i] for i in kept), output])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), pa.array(out, pa.int64())], names=[*(names[i] for i in left), output])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in ready.dtypes if n != STRETCH) + f", `{output}` bigint"
+    schema = ", ".join(f"`{names[i]}` {ready.dtypes[i][1]}" for i in left) + f", `{output}` bigint"
     return ready.mapInArrow(run, schema)
 
 

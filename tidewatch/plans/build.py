@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators import alerts, blocks, episodes, packets as packet_ops, reports, state, targets
 from tidewatch.operators.flows import assemble_flows
 from tidewatch.operators.grid import Grid, WindowSpec
-from tidewatch.schema import HORIZON, target_names
-from tidewatch.session import cut_lineage
+from tidewatch.schema import HORIZON, PACKET_STAT_COLUMNS, target_names
+from tidewatch.session import cut_lineage, kept_apart, let_go
 from tidewatch.sources.dimensions import stage_catalogue_column
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -19,12 +19,12 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def build_states(flows: DataFrame, grid: Grid, internal: tuple[str, ...], horizon: int = HORIZON, trend: bool = False, host_slots: int = 0,
                  flow_packets: bool = False, host_relative: bool = False, packet_windows: DataFrame | None = None,
-                 labelled: bool = True) -> DataFrame:
+                 labelled: bool = True, apart: bool = False) -> DataFrame:
     """The state matrix: (split, w, ts, features, [targets]), one row per window.
 
-    Optional blocks are joined on (split, w): each side is one row per window, already partitioned alike.
+    Optional blocks are joined on (split, w): each side is one row per window, already partitioned alike. ``apart``: see ``state_vector``.
     """
-    out = state.state_vector(flows, grid, internal)
+    out = state.state_vector(flows, grid, internal, apart)
     if trend:
         out = blocks.trend_features(out)
     if host_slots:
@@ -42,14 +42,21 @@ def build_states(flows: DataFrame, grid: Grid, internal: tuple[str, ...], horizo
 
 
 def states_from_packets(packets: DataFrame, internal: tuple[str, ...], spec: WindowSpec = WindowSpec(), dedupe: bool = True) -> tuple[DataFrame, Grid]:
-    """A capture's states: flows assembled from its packets plus the measured packet block; no labels exist."""
+    """A capture's states: flows assembled from its packets plus the measured packet block; no labels exist.
+
+    Packets and flows are the bulk, so what is made of them is made one after the other: each step's shuffles are gone before the
+    next begins, and only flows and rows per window stay. ``packets`` is read several times.
+    """
     rows = packets.where(~F.coalesce("skipped", F.lit(False))) if "skipped" in packets.columns else packets
     if dedupe and "ip_digest" in rows.columns:
         rows = packet_ops.drop_capture_duplicates(rows)
-    flows = cut_lineage(assemble_flows(rows))  # read by every feature family
+    flows = kept_apart(assemble_flows(rows).drop(*PACKET_STAT_COLUMNS))  # read by every feature family
+    let_go(packets.sparkSession)
     grid = Grid.fit(flows, spec)
-    measured = packet_ops.packet_window_features(packet_ops.with_retransmissions(rows), grid)
-    return build_states(flows, grid, internal, packet_windows=measured, labelled=False), grid
+    again = kept_apart(packet_ops.retransmissions_by_slice(rows, grid))
+    let_go(packets.sparkSession)
+    measured = kept_apart(packet_ops.packet_window_features(rows, grid, again))
+    return build_states(flows, grid, internal, packet_windows=measured, labelled=False, apart=True), grid
 
 
 def capture_report(flows: DataFrame, grid: Grid, internal: tuple[str, ...], scorer: Scorer, budget: float = 0.10, horizon: int = HORIZON,
